@@ -58,3 +58,17 @@ def word_count(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fourth of the rows that no model learns from; false for a null doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def bounded_sample(df: DataFrame, label: str, key: str, each: int, labels: int = 1000, seed: int = 5) -> DataFrame:
+    """About `each` rows of every label, by a hash of the key; at most the `labels` most frequent labels. Adds _h, the hash.
+
+    A label's rows are kept when their hash is below a share that its count sets, so no row is moved to choose them.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
+    space = 1 << 30
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(space))
+    if not counts:
+        return df.withColumn("_h", h).where(F.lit(False))
+    most = F.create_map(*[x for r in counts for x in (F.lit(r[label]), F.lit(min(space, int(space * 1.15 * each / r["count"]) + 1)))])
+    return df.withColumn("_h", h).where(F.col("_h") < F.try_element_at(most, F.col(label)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact, licenses, mixing, near, quality
+from . import chat, exact, language, licenses, mixing, near, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op3_licenses": licenses.op3,
     "op4_near": near.op4,
     "op6_exact": exact.op6,
+    "op7_language": language.op7,
     "op8_chat": chat.op8,
     "op10_quality": quality.op10,
 }

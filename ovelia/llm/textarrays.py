@@ -78,12 +78,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, past row, bytes, offsets) of runs of rows with at most that many bytes, or of one row."""
+def chunks(column: pa.Array, most: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, past row, bytes, offsets) of runs of at most that many rows with at most that many bytes, or of one row."""
     raw, off = buffers(column)
     n, a = len(off) - 1, 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
+        b = max(a + 1, min(a + rows, int(np.searchsorted(off, off[a] + most, "right")) - 1))
         yield a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
 
