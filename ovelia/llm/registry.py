@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, language, licenses, mixing, near, quality
+from . import chat, exact, language, licenses, mixing, near, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_exact": exact.op6,
     "op7_language": language.op7,
     "op8_chat": chat.op8,
+    "op9_toxicity": toxicity.op9,
     "op10_quality": quality.op10,
 }
 SQL = {
