@@ -29,7 +29,9 @@ EACH, EACH_CHARS = 1500, 200_000
 #: Longer words are cut into overlapping pieces of this many bytes.
 PIECE = 48
 #: A kernel below this is taken as no likeness.
-LEAST = 0.25
+LEAST = 0.4
+#: What the kernel sees before and after a word; a landmark that is a beginning has none after it.
+BEFORE, AFTER = b"^^", b"$"
 THRESHOLD = 0.3
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -160,9 +162,11 @@ class Likeness:
     """
 
     marks: list[bytes]
+    whole: list[bool]
     known: dict[bytes, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self):
+        self.shown = [BEFORE + m + AFTER * w for m, w in zip(self.marks, self.whole, strict=True)]
         self.bits, self.pairs = np.zeros(len(self.marks), np.uint64), np.zeros(len(self.marks), np.uint64)
         for k, m in enumerate(self.marks):
             a = np.frombuffer(m, np.uint8)
@@ -190,14 +194,15 @@ class Likeness:
         if new:
             parts = [(i, p) for i, w in enumerate(new) for p in _pieces(w) if p]
             owner, pieces = np.array([i for i, _ in parts]), [p for _, p in parts]
-            own = _own(pieces)
+            shown = [BEFORE + p + AFTER for p in pieces]
+            own = _own(shown)
             flat = np.frombuffer(b"".join(pieces), np.uint8)
             bits, pairs = _sets(flat, np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]))
             value = np.zeros((len(new), len(self.marks)), np.float32)
             for k, m in enumerate(self.marks):
                 at = np.flatnonzero(self.near(k, bits, pairs))
                 if len(at):
-                    v = kernel([pieces[i] for i in at], m, own[at])
+                    v = kernel([shown[i] for i in at], self.shown[k], own[at])
                     np.maximum.at(value[:, k], owner[at], np.where(v >= LEAST, v, 0).astype(np.float32))
             self.known.update(zip(new, value, strict=True))
         return np.stack([self.known[w] for w in words]) if words else np.zeros((0, len(self.marks)), np.float32)
@@ -206,6 +211,7 @@ class Likeness:
 @dataclass
 class Model:
     marks: list[bytes]
+    whole: list[bool]
     coef: np.ndarray
     intercept: float
     slope: float
@@ -234,18 +240,20 @@ def _margins(raw: np.ndarray, off: np.ndarray, model: Model, like: Likeness) ->
     return out
 
 
-def _landmarks(held: list[tuple[int, Tokens]], toxic: np.ndarray, most: int) -> list[bytes]:
+def _landmarks(held: list[tuple[int, Tokens]], toxic: np.ndarray, most: int) -> tuple[list[bytes], list[bool]]:
     """Words, and beginnings of words, whose presence speaks most for a toxic document: by the log odds over their standard error.
 
     They stand in a hundredth of toxic documents and at least eight times as often there as elsewhere. Of a word and its
-    beginning the one that speaks more is taken, the longer of two that say the same.
+    beginning the one that speaks more is taken, the longer of two that say the same. The second list tells which are words.
     """
     seen: dict[bytes, list[int]] = {}
+    words: set[bytes] = set()
     for a, t in held:
         pairs = set()
         for i, r in enumerate(t.row):
             if 3 <= t.end[i] - t.start[i] <= PIECE:
                 w = t.word(i)
+                words.add(w)
                 pairs |= {(int(r), w), (int(r), w[:4]), (int(r), w[:5])}
         for r, w in pairs:
             seen.setdefault(w, [0, 0])[int(toxic[a + r])] += 1
@@ -260,7 +268,7 @@ def _landmarks(held: list[tuple[int, Tokens]], toxic: np.ndarray, most: int) ->
     for _, _, w in sorted(rank):
         if len(marks) < most and not any(m.startswith(w) or w.startswith(m) for m in marks):
             marks.append(w)
-    return marks
+    return marks, [m in words for m in marks]
 
 
 def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LANDMARKS) -> Model | None:
@@ -269,11 +277,11 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
         return None
     column = pa.array(texts, pa.string())
     held = [(a, Tokens(raw, off)) for a, _, raw, off in chunks(column)]
-    marks = _landmarks(held, toxic, landmarks)
+    marks, whole = _landmarks(held, toxic, landmarks)
     if not marks:
         return None
-    like = Likeness(marks)
-    to = inverse_root(np.array([kernel(marks, m) for m in marks]), 1e-3)
+    like = Likeness(marks, whole)
+    to = inverse_root(np.array([kernel(like.shown, m) for m in like.shown]), 1e-3)
     # Sentences: of toxic documents those that are like a landmark at all, of clean ones all such; the rest is at zero.
     rows, values = [], []
     for a, t in held:
@@ -291,7 +299,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     sign = np.concatenate([np.where(toxic[row] == 1, 1.0, -1.0), -np.ones(len(zero))])
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
     coef, intercept = svm(x, sign, weight)
-    model = Model(marks, to @ coef, intercept, 1.0, 0.0)
+    model = Model(marks, whole, to @ coef, intercept, 1.0, 0.0)
     margin = np.concatenate([_margins(raw, off, model, like) for _, _, raw, off in chunks(column)])
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0)
     model.slope, model.shift = platt(margin, toxic.astype(float), weight)
@@ -310,7 +318,7 @@ def fit(labelled: DataFrame, each: int = EACH) -> Model | None:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    like = Likeness(model.marks)
+    like = Likeness(model.marks, model.whole)
     for batch in batches:
         out = [_margins(raw, off, model, like) for _, _, raw, off in chunks(batch.column(1))]
         margin = np.concatenate(out) if out else np.zeros(0)
