@@ -281,7 +281,6 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     if not marks:
         return None
     like = Likeness(marks, whole)
-    to = inverse_root(np.array([kernel(like.shown, m) for m in like.shown]), 1e-3)
     # Sentences: of toxic documents those that are like a landmark at all, of clean ones all such; the rest is at zero.
     rows, values = [], []
     for a, t in held:
@@ -294,12 +293,18 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     np.maximum.at(best, row, value.max(1))
     witness = (toxic[row] == 0) | (value.max(1) >= 0.9 * best[row])
     row, value = row[witness], value[witness]
-    zero = np.zeros((max(1, n0), value.shape[1]), value.dtype)
-    x = np.vstack([value, zero]).astype(np.float64) @ to
-    sign = np.concatenate([np.where(toxic[row] == 1, 1.0, -1.0), -np.ones(len(zero))])
+    sign = np.concatenate([np.where(toxic[row] == 1, 1.0, -1.0), -np.ones(max(1, n0))])
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
-    coef, intercept = svm(x, sign, weight)
-    model = Model(marks, whole, to @ coef, intercept, 1.0, 0.0)
+    value = np.vstack([value, np.zeros((max(1, n0), value.shape[1]), value.dtype)]).astype(np.float64)
+    for last in (False, True):
+        to = inverse_root(np.array([kernel(like.shown, m) for m in like.shown]), 1e-3)
+        coef, intercept = svm(value @ to, sign, weight)
+        model = Model(like.marks, like.whole, to @ coef, intercept, 1.0, 0.0)
+        if not last:
+            # Landmarks that say little go, with the words that are compared with them only.
+            keep = np.flatnonzero(model.coef >= 0.5 * model.coef.max())
+            like = Likeness([like.marks[k] for k in keep], [like.whole[k] for k in keep])
+            value = value[:, keep]
     margin = np.concatenate([_margins(raw, off, model, like) for _, _, raw, off in chunks(column)])
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0)
     model.slope, model.shift = platt(margin, toxic.astype(float), weight)
