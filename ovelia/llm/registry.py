@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact, language, licenses, mixing, near, quality, toxicity
+from . import chat, exact, language, licenses, mixing, near, pieces, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op3_licenses": licenses.op3,
     "op4_near": near.op4,
+    "op5_pieces": pieces.op5,
     "op6_exact": exact.op6,
     "op7_language": language.op7,
     "op8_chat": chat.op8,
