@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact, language, licenses, mixing, near, pieces, quality, toxicity
+from . import chat, exact, language, licenses, mixing, near, pieces, quality, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
+    "op2_substrings": substrings.op2,
     "op3_licenses": licenses.op3,
     "op4_near": near.op4,
     "op5_pieces": pieces.op5,
