@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, small
 from .nystrom import inverse_root, platt, svm
 from .textarrays import chunks, mix64
 
@@ -311,13 +311,19 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     return model
 
 
-def fit(labelled: DataFrame, each: int = EACH) -> Model | None:
-    """A model of labelled(doc_id, text, toxic), from a bounded sample of its rows; None without both labels."""
-    rows = labelled.where("toxic in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model | None:
+    """A model of docs(doc_id, text) by labels(doc_id, toxic), from a bounded sample of labelled rows; None without both labels.
+
+    The sample is drawn from the labels, so that only its ids meet the texts: they are broadcast, and no text is dealt out.
+    """
+    rows = labels.where("toxic in (0, 1)")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
-    got = bounded_sample(rows.where(F.length(F.coalesce("text", F.lit(""))) <= EACH_CHARS), "toxic", "doc_id", each).select("_h", "doc_id", "toxic", "text").toPandas()
+    some = bounded_sample(rows, "toxic", "doc_id", each).select("_h", "doc_id", "toxic")
+    got = docs.where(F.length(F.coalesce("text", F.lit(""))) <= EACH_CHARS).join(small(some), "doc_id").select("_h", "doc_id", "toxic", "text").toPandas()
+    if not len(got):
+        return None
     got = got.sort_values(["toxic", "_h", "doc_id"]).groupby("toxic").head(each)
     return train([t or "" for t in got["text"]], got["toxic"].to_numpy().astype(int), n[1] / (n[0] + n[1]))
 
@@ -343,6 +349,6 @@ def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held = held_out(F.col("doc_id"))
-    model = fit(docs.where(~held).join(labels.where("toxic is not null"), "doc_id"))
+    model = fit(docs, labels.where(~held))
     out = toxicity(docs, model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
