@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, SPACE, cut, ensure_checkpoint_dir
@@ -125,9 +125,21 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with docs' columns. doc_id must tell rows apart."""
-    keep = exact_groups(docs, doc_id, text, **options).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep"]), "left_semi")
+    """The rows of docs that stay, with docs' columns. Where rows share a doc_id, the one with the longest text of those equal to the kept one stays."""
+    groups = cut(exact_groups(docs, doc_id, text, **options))
+    keep = groups.where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    repeats = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if repeats.isEmpty():
+        return docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep"]), "left_semi")
+    repeats = cut(repeats)
+    columns = docs.columns
+    once = docs.join(repeats, docs[doc_id].eqNullSafe(repeats["_again"]), "left_anti")
+    once = once.join(keep, once[doc_id].eqNullSafe(keep["_keep"]), "left_semi")
+    again = docs.join(repeats, docs[doc_id].eqNullSafe(repeats["_again"]), "left_semi")
+    row = again.select(F.struct(*columns).alias("_row"), F.col(doc_id).alias("_id"), F.coalesce(F.length(text), F.lit(0)).alias("_chars"), F.sha2(normalised(F.col(text)), 256).alias("_text"))
+    row = row.join(keep, row["_id"].eqNullSafe(keep["_keep"]) & (F.col("_text") == F.col("_sha")), "left_semi")
+    first = Window.partitionBy("_id", "_text").orderBy(F.desc("_chars"))
+    return once.unionByName(row.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .common import cut
-from .components import components
+from ..operators.graphs import components
 from .textarrays import U, Words, chunks, mix64, stream
 
 WORDS = 5
