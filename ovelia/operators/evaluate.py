@@ -17,6 +17,8 @@ from .numerics import SVC, platt
 from .samplers import _arrays, _out
 
 METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "specificity", "g_mean", "auc_roc"]
+#: Ranges of scores whose counts are summed before scores are ranked.
+SCORE_BUCKETS = 4096
 CLASSIFIERS = ("decision_tree", "random_forest", "logistic_regression", "naive_bayes", "knn", "svm")
 
 
@@ -47,7 +49,12 @@ def metrics(pred: DataFrame, digits: int = 4) -> DataFrame:
     c = lambda y, p: F.sum(((F.col("label") == y) & (F.col("prediction") == p)).cast("long"))
     one = pred.agg(c(1, 1).alias("tp"), c(0, 1).alias("fp"), c(0, 0).alias("tn"), c(1, 0).alias("fn"))
     per = pred.groupBy("score").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Negatives below a score: of lower buckets (one row for each, summed first) and of its own bucket.
+    per = per.withColumn("b", F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * SCORE_BUCKETS))
+    upto = F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bars = per.groupBy("b").agg(F.sum("q").alias("t")).select("b", upto.alias("before"))
+    per = per.join(F.broadcast(bars), "b")
+    below = F.col("before") + F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     area = per.withColumn("u", F.col("p") * (below + F.col("q") / 2)).agg((F.sum("u") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     x = one.join(F.broadcast(area))

@@ -74,6 +74,24 @@ class ComplexityMeasures:
     def family(self, name: str) -> dict[str, float]:
         return {k: self.value(k) for k in FAMILIES[name]}
 
+    def table(self, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
+        """(family, measure, value) of all measures of some families."""
+        rows = [(f, k, v) for f in families for k, v in self.family(f).items()]
+        return self.df.sparkSession.createDataFrame(rows, "family string, measure string, value double")
+
+    def calculate_n3(self) -> dict:
+        v = self.value("n3")
+        return {"overall": v, "level": level(v, 0.1, 0.3)}
+
+    def calculate_t1(self) -> dict:
+        v = self.value("t1")
+        return {"normalized": v, "level": level(v, 0.2, 0.4)}
+
+    def hardness_picture(self) -> DataFrame:
+        """(id, label, pc, value, hardness): rows in two principal components, with their instance hardness."""
+        h = m.instance_hardness(self.neighbours).select("id", F.col("value").alias("hardness"))
+        return overlap_picture(self.df).join(h, "id")
+
     def svm_reduction(self) -> dict[int, float]:
         """Per class, the share of rows that are no support vectors (rbf, gamma .1, C 100)."""
         _, label, x = _arrays(self.df)

@@ -186,6 +186,8 @@ QUERIES = {
     "analyze_overlap": _on(_analysis),
     "compare_pre_post": _on(lambda x: ov.compare_pre_post(x, sm.NBUS("basic").resample(x), ("n3", "n2", "si"))),
     "overlap_picture": _on(ov.overlap_picture, table_e),
+    "hardness_picture": _on(lambda x: ov.ComplexityMeasures(x).hardness_picture(), table_e),
+    "measure_table": _on(lambda x: ov.ComplexityMeasures(x).table(("feature", "instance"))),
     "resampling_table": _on(lambda x: ov.resampling_table(x, {"ros": sm.RandomOverSampler().resample(x), "rus": sm.RandomUnderSampler().resample(x)})),
     # overlap regions
     "tomek_links": _on(sm.tomek_links),

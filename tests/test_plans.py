@@ -25,6 +25,8 @@ def test_measures_are_shares(spark):
     c = ComplexityMeasures(lb.synthetic(spark, 60, 2, 2))
     for name in ("n3", "kdn", "cm", "si", "deg_overlap", "n2", "lsc", "t1", "f2", "input_noise", "onb", "clust"):
         assert 0 <= c.value(name) <= 1, name
+    assert c.calculate_n3()["level"] in ("low", "medium", "high") and c.hardness_picture().count() == 120
+    assert c.table(("feature",)).count() == 6
     with pytest.raises(ValueError):
         c.measure("none")
     assert sum(map(len, available_measures().values())) == 29
