@@ -31,7 +31,9 @@ from .textarrays import BYTES, WORDS, WORDS2, RangeHash, U, buffers, mix64
 
 THRESHOLD, GRAM = 50, 20
 #: Bytes of text that a group of documents, or the anchors of one bucket, come from on average; at least so many groups.
-GROUP_BYTES, LEAST_GROUPS = 16 << 20, 64
+GROUP_BYTES, LEAST_GROUPS = 3 << 20, 64
+#: Bits of an anchor that are sent beside its bucket's number; a chance match only makes a candidate.
+ANCHOR_BYTES = 5
 #: Bytes whose windows are worked on at once.
 PIECE = 1 << 19
 _LOW = U((1 << 21) - 1)
@@ -92,19 +94,45 @@ def _pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[Runs]:
 def _packed(bucket: np.ndarray, dg: int, **columns: np.ndarray) -> dict[str, list]:
     """Rows of a table by bucket, each column as bytes; bucket is sorted."""
     cut = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(bucket))
+    ends = np.append(cut[1:], len(bucket))[: len(cut)]
     out: dict[str, list] = {"bucket": bucket[cut].tolist(), "dg": [dg] * len(cut)}
     for name, x in columns.items():
-        out[name] = [x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+        out[name] = [_short(x[a:b]) if name == "anchors" else _squeeze(x[a:b]) for a, b in zip(cut, ends, strict=True)]
     return out
 
 
+def _short(anchor: np.ndarray) -> bytes:
+    return np.ascontiguousarray(anchor.view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]).tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, ANCHOR_BYTES)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, :ANCHOR_BYTES] = part
+    return out.view(U).ravel()
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed, after their number."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def _expand(data: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], n, "zstd", asbytes=True) if n else b"", kind)
+
+
+def _column(table: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [_expand(b.as_py(), kind) for b in table.column(name)]
+
+
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> U(33)) % U(buckets)).astype(np.int64)
 
 
 ANCHORS = pa.schema([("bucket", pa.int32()), ("dg", pa.int32()), ("anchors", pa.binary())])
-REPEATED = pa.schema([("dg", pa.int32()), ("anchors", pa.binary())])
+REPEATED = pa.schema([("dg", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary())])
 SEGMENTS = pa.schema([("bucket", pa.int32()), ("dg", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
 FIRSTS = pa.schema([("dg", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("docs", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
@@ -127,26 +155,29 @@ def _anchors(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
 
 def _repeated(table: pa.Table) -> pa.Table:
     """For each group the anchors of one bucket that stand in two documents or more, of whatever groups."""
-    parts = [np.frombuffer(b.as_buffer(), U) for b in table.column("anchors")]
+    parts = [_long(b.as_py()) for b in table.column("anchors")]
     every = np.concatenate(parts) if parts else np.zeros(0, U)
     distinct, back, count = np.unique(every >> U(1), return_inverse=True, return_counts=True)
     many = count > 1
     many[back[(every & U(1)) == U(1)]] = True
     keep, at, out = many[back], 0, []
     for p in parts:
-        out.append((p[keep[at : at + len(p)]] | U(1)).tobytes())
+        out.append(_short(p[keep[at : at + len(p)]] | U(1)))
         at += len(p)
-    return pa.table({"dg": table.column("dg"), "anchors": out}, schema=REPEATED)
+    return pa.table({"dg": table.column("dg"), "bucket": table.column("bucket"), "anchors": out}, schema=REPEATED)
 
 
 def _segments(key: tuple, texts: pa.Table, repeated: pa.Table, buckets: int) -> pa.Table:
     """Distinct segments of a group's repeated anchors, each with its smallest document, dealt out by anchor."""
     raw, off, ids = _group(texts)
-    known = np.sort(np.concatenate([np.zeros(0, U)] + [np.frombuffer(b.as_buffer(), U) for b in repeated.column("anchors")]))
+    tag = lambda bucket: U(bucket) << U(8 * ANCHOR_BYTES) if np.isscalar(bucket) else bucket.astype(U) << U(8 * ANCHOR_BYTES)
+    known = np.sort(np.concatenate([np.zeros(0, U)] + [_long(a.as_py()) | tag(b.as_py()) for a, b in zip(repeated.column("anchors"), repeated.column("bucket"), strict=True)]))
+    low = U((1 << 8 * ANCHOR_BYTES) - 1)
     found = []
     for r in _pieces(raw, off):
         if len(known) and len(r.anchor):
-            hit = known[np.minimum(np.searchsorted(known, r.anchor), len(known) - 1)] == r.anchor
+            own = (r.anchor & low) | tag(_bucket(r.anchor, buckets))
+            hit = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
             found.append((r.key[hit], r.anchor[hit], ids[r.doc[hit]], r.first[hit], r.last[hit] + THRESHOLD - r.first[hit]))
     if not found:
         return SEGMENTS.empty_table()
@@ -162,7 +193,7 @@ def _segments(key: tuple, texts: pa.Table, repeated: pa.Table, buckets: int) ->
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         n = size[one[a:b]]
         to = np.concatenate([[0], np.cumsum(n)])
-        out["bytes"].append(raw[np.repeat(first[one[a:b]] - to[:-1], n) + np.arange(to[-1])].tobytes())
+        out["bytes"].append(_squeeze(raw[np.repeat(first[one[a:b]] - to[:-1], n) + np.arange(to[-1])]))
     return pa.table(out, schema=SEGMENTS)
 
 
@@ -174,10 +205,9 @@ def _rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def first_documents(raw: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window of segments (raw, off; each with its smallest document): its position, and the smallest document with equal bytes. By prefix doubling."""
     n = len(raw)
-    where = np.arange(n)
-    owner = np.searchsorted(off, where, "right") - 1
-    p = np.flatnonzero(where + THRESHOLD <= off[owner + 1])
-    best = doc[owner[p]].copy()
+    windows = np.maximum(np.diff(off) - THRESHOLD + 1, 0)
+    p = np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum()) if len(off) > 1 else np.zeros(0, np.int64)
+    best = np.repeat(doc, windows)
     if not len(p):
         return p, best
     wide = np.zeros(n + 8, np.uint8)
@@ -187,8 +217,9 @@ def first_documents(raw: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[
         eight |= wide[k : n + k].astype(np.uint64) << np.uint64(8 * (7 - k))
     live = np.arange(len(p))
     # Ranks are of live windows' own positions and of those that their pairs reach into.
-    rank = np.unique(eight, return_inverse=True)[1]
+    rank = np.unique(eight, return_inverse=True)[1].astype(np.int32)
     size = 8
+    del eight, wide
     while True:
         alone = np.bincount(rank[p[live]])[rank[p[live]]] == 1
         live = live[~alone]
@@ -204,9 +235,10 @@ def first_documents(raw: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[
             need[g:] |= need[:-g].copy()
             after += g
         q = np.flatnonzero(need[: n - grow])
-        new = np.zeros(n, np.int64)
+        new = np.zeros(n, np.int32)
         new[q] = _rank(rank[q], rank[q + grow])
         rank, size = new, size + grow
+        del new, q, need
     if len(live):
         r, d = rank[p[live]], best[live]
         order = np.lexsort((d, r))
@@ -217,8 +249,7 @@ def first_documents(raw: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[
 
 def _firsts(table: pa.Table) -> pa.Table:
     """For each group and segment of one bucket: runs of its windows with the same smallest document."""
-    get = lambda c, t: [np.frombuffer(b.as_buffer(), t) for b in table.column(c)]
-    keys, docs, sizes, raws = get("keys", U), get("docs", np.int64), get("sizes", np.int32), get("bytes", np.uint8)
+    keys, docs, sizes, raws = (_column(table, c, t) for c, t in (("keys", U), ("docs", np.int64), ("sizes", np.int32), ("bytes", np.uint8)))
     off = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
     p, best = first_documents(np.concatenate(raws), off, np.concatenate(docs))
     seg = np.searchsorted(off, p, "right") - 1
@@ -226,14 +257,14 @@ def _firsts(table: pa.Table) -> pa.Table:
     runs = np.diff(np.append(head, len(p))).astype(np.int32)
     seg, best, key = seg[head], best[head], np.concatenate(keys)[seg[head]]
     cuts = np.searchsorted(seg, np.concatenate([[0], np.cumsum([len(k) for k in keys])]))
-    pick = lambda x: [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    pick = lambda x: [_squeeze(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table({"dg": table.column("dg"), "keys": pick(key), "runs": pick(runs), "docs": pick(best)}, schema=FIRSTS)
 
 
 def _remove(texts: pa.Table, firsts: pa.Table) -> pa.Table:
     """Results of a group's documents."""
     raw, off, ids = _group(texts)
-    get = lambda c, t: np.concatenate([np.zeros(0, t)] + [np.frombuffer(b.as_buffer(), t) for b in firsts.column(c)])
+    get = lambda c, t: np.concatenate([np.zeros(0, t), *_column(firsts, c, t)])
     keys, runs, docs = get("keys", U), get("runs", np.int32).astype(np.int64), get("docs", np.int64)
     order = np.argsort(keys, kind="stable")
     keys, runs, docs = keys[order], runs[order], docs[order]
@@ -300,3 +331,19 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def op2(spark, sf_dir: str) -> DataFrame:
     return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+SQL2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, u.i AS i, substr(h, 2 * u.i - 1, 100) AS s FROM d, unnest(range(1, len(h) // 2 - 48)) AS u(i)),
+f AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN f USING (s) WHERE f < doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, k),
+e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS b FROM r
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 1), len(any_value(h)) // 2 + 1 FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT e.doc_id, string_agg(substr(h, 2 * a - 1, 2 * (b - a)), '' ORDER BY a) AS h FROM e JOIN d USING (doc_id) GROUP BY e.doc_id),
+n AS (SELECT doc_id, sum(b - a)::BIGINT AS n, count(*)::BIGINT AS s FROM r GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n.n, 0)::BIGINT AS n_removed, coalesce(n.s, 0)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
