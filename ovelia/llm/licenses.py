@@ -107,10 +107,41 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices=NO
         F.array_max(F.transform(plain, lambda h: h["start"])).alias("last_word"),
         joined(plain).alias("base_labels"),
         joined(F.col("hits")).alias("labels"),
-        F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0))).alias("score"),
+        F.round(F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0))), 6).alias("score"),
         "hits",
     )
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("hits")
+
+
+def _places_sql(t: int) -> str:
+    """Places of one notice: all its mandatory phrases stand where it would have them."""
+    label, notice, phrases = NOTICES[t]
+    ws = notice.split()
+    lists = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]"
+    spans = []
+    for p in phrases:
+        part = p.split()
+        spans.append((next(i for i in range(len(ws)) if ws[i : i + len(part)] == part), part))
+    at, first = spans[0]
+    holds = " AND ".join(f"w[s + {a + 1}:s + {a + len(x)}] = {lists(x)}" for a, x in spans)
+    score = " + ".join(f"CASE WHEN s + {j} >= 0 AND w[s + {j + 1}] = '{x}' THEN (SELECT i FROM i WHERE w = '{x}') ELSE 0 END" for j, x in enumerate(ws))
+    total = " + ".join(f"(SELECT i FROM i WHERE w = '{x}')" for x in ws)
+    return f"""SELECT doc_id, '{label}' AS label, {t < BASE} AS base, s, ({score}) / ({total}) AS score FROM (
+  SELECT doc_id, w, u.p - {at + 1} AS s FROM d, unnest(range(1, len(w) + 1)) AS u(p) WHERE list_contains(w, '{first[0]}') AND w[u.p] = '{first[0]}') WHERE {holds}"""
+
+
+_VOCABULARY = ", ".join(f"('{w}')" for w in sorted({w for _, n, _ in NOTICES for w in n.split()}))
+SQL3 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS w FROM d) GROUP BY w),
+i AS (SELECT v.w AS w, ln(((SELECT count(*) FROM d) + 1) / (coalesce(f.n, 0) + 1)) + 1 AS i FROM (VALUES {_VOCABULARY}) AS v(w) LEFT JOIN f ON f.w = v.w),
+h AS ({" UNION ALL ".join(_places_sql(t) for t in range(len(NOTICES)))}),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, round(max(score), 6) AS score FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -245,3 +245,21 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL4 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, array_to_string(w, ' ') AS t, w FROM d WHERE len(w) > 0),
+rep AS (SELECT t, min(doc_id) AS rep, count(*) AS n, any_value(w) AS w FROM x GROUP BY t),
+s AS (SELECT DISTINCT rep, array_to_string(w[u.i:u.i + 4], ' ') AS s FROM rep, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS u(i)),
+z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z y ON y.rep = a JOIN z v ON v.rep = b WHERE 10 * p.n >= 8 * (y.n + v.n - p.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT rep AS node, rep AS root FROM rep UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+m AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+k AS (SELECT e.a AS rep, sum(rep.n) AS n FROM e JOIN rep ON rep.rep = e.b GROUP BY e.a)
+SELECT x.doc_id, m.root AS class_id, (coalesce(k.n, 0) + rep.n - 1)::BIGINT AS n_links, rep.n AS n_copies
+FROM x JOIN rep USING (t) JOIN m ON m.node = rep.rep LEFT JOIN k ON k.rep = rep.rep
+UNION ALL SELECT doc_id, doc_id, 0, 1 FROM d WHERE len(w) = 0
+"""

@@ -17,6 +17,9 @@ QUERIES = {
     "op10_quality": quality.op10,
 }
 SQL = {
+    "op2_substrings": substrings.SQL2,
+    "op3_licenses": licenses.SQL3,
+    "op4_near": near.SQL4,
     "op6_exact": exact.SQL6,
     "op8_chat": chat.SQL8,
     "op10_quality": quality.SQL10,
