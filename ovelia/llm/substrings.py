@@ -35,47 +35,44 @@ GROUP_BYTES, LEAST_GROUPS = 3 << 20, 64
 #: Bits of an anchor that are sent beside its bucket's number; a chance match only makes a candidate.
 ANCHOR_BYTES = 5
 #: Bytes whose windows are worked on at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _LOW = U((1 << 21) - 1)
 
 
 class Runs:
     """Runs of windows of a piece that name the same anchor: first and last window, document, anchor's hash, key of the segment's bytes."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, lo: int, hi: int):
-        """Windows that begin at lo..hi-1 of raw (a group's documents, one after the other)."""
-        stop = min(len(raw), hi + THRESHOLD - 1)
-        part = raw[lo:stop]
+    def __init__(self, raw: np.ndarray, off: np.ndarray, lo: int, hi: int, keys: bool = True):
+        """Windows that begin at lo..hi-1 of raw (a group's documents, one after the other). Without keys, key stays empty."""
+        part = raw[lo : min(len(raw), hi + THRESHOLD - 1)]
         self.first = self.last = self.doc = np.zeros(0, np.int64)
         self.anchor = self.key = np.zeros(0, U)
         n = len(part) - THRESHOLD + 1
         if n <= 0:
             return
-        begin = np.arange(len(part) - GRAM + 1)
         ranges = RangeHash(BYTES[part], WORDS)
-        h = ranges.get(begin, begin + GRAM)
-        m = (h & ~_LOW) | begin.astype(U)
+        h = mix64((ranges.sums[GRAM:] - ranges.sums[:-GRAM]) * ranges.down[: len(part) - GRAM + 1])
+        m = (h & ~_LOW) | np.arange(len(h), dtype=U)
         span, want = 1, THRESHOLD - GRAM + 1
         while 2 * span <= want:
             m = np.minimum(m[:-span], m[span:])
             span *= 2
         if want > span:
             m = np.minimum(m[: len(m) - (want - span)], m[want - span :])
-        at = (m & _LOW).astype(np.int64)
-        doc = np.searchsorted(off, np.arange(lo, lo + n), "right") - 1
-        inside = np.arange(lo, lo + n) + THRESHOLD <= off[doc + 1]
-        p = np.flatnonzero(inside)
-        if not len(p):
-            return
-        at = at[p]
-        head = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(p) != 1)))
-        self.first = p[head]
-        self.last = p[np.append(head[1:], len(p)) - 1]
-        self.doc = doc[self.first]
+        at = (m & _LOW).astype(np.int32)
+        # Windows that reach over a document's end name no anchor.
+        for e in off[np.searchsorted(off, lo, "right") : np.searchsorted(off, lo + len(part), "left")] - lo:
+            at[max(0, e - THRESHOLD + 1) : e] = -1
+        head = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        last = np.append(head[1:], n) - 1
+        ok = at[head] >= 0
+        head, last = head[ok], last[ok]
+        self.doc = np.searchsorted(off, head + lo, "right") - 1
         self.anchor = h[at[head]] | U(1)
-        other = RangeHash(mix64(BYTES[part] ^ U(77)), WORDS2)
-        self.key = mix64(other.get(self.first, self.last + THRESHOLD) ^ self.anchor)
-        self.first, self.last = self.first + lo, self.last + lo
+        if keys:
+            other = RangeHash(mix64(BYTES ^ U(77))[part], WORDS2)
+            self.key = mix64(other.get(head, last + THRESHOLD) ^ self.anchor)
+        self.first, self.last = head + lo, last + lo
 
 
 def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,9 +83,9 @@ def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) > 1 else raw[:0], off - off[0], np.asarray(table.column("doc"), np.int64)
 
 
-def _pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[Runs]:
+def _pieces(raw: np.ndarray, off: np.ndarray, keys: bool = True) -> Iterator[Runs]:
     for lo in range(0, len(raw), PIECE):
-        yield Runs(raw, off, lo, min(len(raw), lo + PIECE))
+        yield Runs(raw, off, lo, min(len(raw), lo + PIECE), keys)
 
 
 def _packed(bucket: np.ndarray, dg: int, **columns: np.ndarray) -> dict[str, list]:
@@ -141,7 +138,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 def _anchors(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
     """Distinct anchors of a group; the lowest bit tells whether two of its documents have it."""
     raw, off, ids = _group(table)
-    found = [(r.anchor, ids[r.doc]) for r in _pieces(raw, off)]
+    found = [(r.anchor, ids[r.doc]) for r in _pieces(raw, off, keys=False)]
     anchor, doc = (np.concatenate([f[i] for f in found]) for i in (0, 1)) if found else (np.zeros(0, U), np.zeros(0, np.int64))
     order = np.lexsort((doc, anchor))
     anchor, doc = anchor[order], doc[order]
@@ -250,13 +247,24 @@ def first_documents(raw: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[
 def _firsts(table: pa.Table) -> pa.Table:
     """For each group and segment of one bucket: runs of its windows with the same smallest document."""
     keys, docs, sizes, raws = (_column(table, c, t) for c, t in (("keys", U), ("docs", np.int64), ("sizes", np.int32), ("bytes", np.uint8)))
-    off = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
-    p, best = first_documents(np.concatenate(raws), off, np.concatenate(docs))
+    key, size, doc, raw = (np.concatenate(x) for x in (keys, sizes, docs, raws))
+    # Groups that send the same segment share one copy of it.
+    _, one, back = np.unique(key, return_index=True, return_inverse=True)
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, back, doc)
+    at, n = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[one], size[one].astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(n)])
+    p, best = first_documents(raw[np.repeat(at - off[:-1], n) + np.arange(off[-1])], off, least)
     seg = np.searchsorted(off, p, "right") - 1
     head = np.flatnonzero(np.append(True, (np.diff(seg) != 0) | (np.diff(best) != 0))) if len(p) else p
     runs = np.diff(np.append(head, len(p))).astype(np.int32)
-    seg, best, key = seg[head], best[head], np.concatenate(keys)[seg[head]]
-    cuts = np.searchsorted(seg, np.concatenate([[0], np.cumsum([len(k) for k in keys])]))
+    # Each segment's runs, for every group that sent it.
+    begin = np.searchsorted(seg[head], np.arange(len(one) + 1))
+    many = np.diff(begin)[back]
+    upto = np.concatenate([[0], np.cumsum(many)])
+    row = np.repeat(begin[back] - upto[:-1], many) + np.arange(upto[-1])
+    key, runs, best = np.repeat(key, many), runs[row], best[head][row]
+    cuts = upto[np.concatenate([[0], np.cumsum([len(k) for k in keys])])]
     pick = lambda x: [_squeeze(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table({"dg": table.column("dg"), "keys": pick(key), "runs": pick(runs), "docs": pick(best)}, schema=FIRSTS)
 
