@@ -84,9 +84,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     Of equal texts the row with the most code points in its original text stays, then the smallest doc_id. Null and
     empty texts are equal to each other. Rows that share a doc_id are rows of their own: where text, length and doc_id
-    tie, the one with the smallest row number of this run stays. Null doc_ids come after others.
+    tie, the one with the smallest row number of this run stays. Null doc_ids come after others. The index stays at
+    path if one is given, else it goes when the chains are verified.
     """
-    path = path or f"{ensure_checkpoint_dir(docs.sparkSession)}/exact-{uuid.uuid4().hex}"
+    spark, own = docs.sparkSession, path is None
+    path = path or f"{ensure_checkpoint_dir(spark)}/exact-{uuid.uuid4().hex}"
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     norm = normalised(F.col("text"))
     read = base.select("doc_id", F.xxhash64(norm).alias("key"), norm.alias("norm"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
@@ -112,6 +114,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
         ids = cut(miss.select("doc_id", "key").distinct())
         chain = cut(ids.groupBy("key").agg(F.min("doc_id").alias("head")))
         rest = rest.join(ids.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    if own:  # all that follows is in checkpoints
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     if level:
         in_chain = verified.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "chain")
         entries = entries.join(in_chain, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
