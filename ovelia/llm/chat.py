@@ -63,7 +63,8 @@ def paths(messages: DataFrame) -> DataFrame:
     have = m.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
     up = m.join(have, m["tree"].eqNullSafe(have["t2"]) & (F.col("parent") == F.col("n2")) & (F.col("node") != F.col("n2"))).select("tree", "node", F.col("n2").alias("up"))
     up = cut(up)
-    nodes = m.count()
+    # No path is longer than its tree, so a cycle ends when the steps reach the largest one.
+    nodes = m.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     inner = up.select(F.col("tree").alias("t3"), F.col("up").alias("n3")).distinct()
     at = m.join(inner, m["tree"].eqNullSafe(inner["t3"]) & (F.col("node") == F.col("n3")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("steps"))
     at, span = cut(at), 1
