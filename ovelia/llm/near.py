@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import cut
+from .common import cut, small
 from ..operators.graphs import components
 from .textarrays import U, Words, chunks, mix64, stream
 
@@ -94,7 +94,7 @@ def _payload(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             sets, sigs = [b""] * (b - a), [b""] * (b - a)
             for i, r in enumerate(have):
                 sets[r], sigs[r] = np.unique(s[first[i] : ends[i]]).tobytes(), v[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["doc", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), batch.column(2)[a:b], batch.column(3)[a:b]], ["doc", "sig", "shingles", "weight", "in"])
 
 
 class _Group:
@@ -213,14 +213,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     print_ = F.xxhash64(F.lit(7), "doc")
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(print_, 24)).alias("p"), F.bit_xor(print_).alias("x")).where("n > 1")
     kept = cut(buckets.groupBy("n", "p", "x").agg(F.min("key").alias("key")).select("key", "n"))
-    member = cut(banded.join(kept, "key").select("doc", "weight", "key", "n").distinct())
+    member = cut(banded.join(small(kept), "key").select("doc", "weight", "key", "n").distinct())
     keys = member.groupBy("doc").agg(F.first("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("key", "n"))).alias("in"))
     keys = cut(keys)
     # 3. Texts of documents in such buckets, again, to signatures and sets of shingles.
-    active = base.join(keys.select("doc"), "doc", "left_semi")
-    payload = active.mapInArrow(lambda it: _payload(it, words), "doc long, sig binary, shingles binary").where("length(sig) > 0")
+    # The buckets go with the text, so that nothing made of it is dealt out by document again.
+    active = base.join(keys, "doc").select("doc", "text", "weight", "in")
+    payload = active.mapInArrow(lambda it: _payload(it, words), "doc long, sig binary, shingles binary, weight long, in array<struct<key:long,n:long>>").where("length(sig) > 0")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    placed = payload.join(keys, "doc").select("doc", "weight", "sig", "shingles", F.expr("transform(in, k -> k.key)").alias("keys"), F.explode("in").alias("k"))
+    placed = payload.select("doc", "weight", "sig", "shingles", F.expr("transform(in, k -> k.key)").alias("keys"), F.explode("in").alias("k"))
     placed = placed.select("doc", "weight", "sig", "shingles", "keys", "k.key", "k.n").withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64(F.lit(9), "doc"), F.col("nb").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
     placed = placed.select("key", "lo", "hi", "doc", "weight", "blk", "keys", "sig", "shingles").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
