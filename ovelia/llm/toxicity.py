@@ -2,15 +2,20 @@
 
 The kernel of two words is a sum over their common subsequences of three characters, each weighing less the more it is
 spread, normalised; so `id-iot`, `i d i o t` and `idxiot` stay close to `idiot`. A sentence is described by its
-words' kernel with landmark words, each the largest in the sentence; the Nyström map of that vector is what a linear
-support vector machine, trained on sentences of labelled documents, sees. A document is as toxic as its worst sentence.
+words' kernel with landmark words, each the largest in the sentence and measured by how rare it is in clean sentences, so
+that a weak likeness counts as far as clean text does not show it. The Nyström map of that vector is what a linear support
+vector machine, trained on sentences of labelled documents, sees. A document is as toxic as its worst sentence.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from .common import bounded_sample, held_out, small
 from .nystrom import inverse_root, platt, svm
-from .textarrays import chunks, mix64
+from .textarrays import BYTES, WORDS, RangeHash, chunks
 
 ORDER, DECAY = 3, 0.5
 LANDMARKS = 32
@@ -28,11 +33,11 @@ LANDMARKS = 32
 EACH, EACH_CHARS = 1500, 200_000
 #: Longer words are cut into overlapping pieces of this many bytes.
 PIECE = 48
-#: A kernel below this is taken as no likeness.
-LEAST = 0.4
 #: What the kernel sees before and after a word; a landmark that is a beginning has none after it.
 BEFORE, AFTER = b"^^", b"$"
 THRESHOLD = 0.3
+#: Steps of the kernel in the curve of its rarity, and the power that keeps common likeness small.
+STEPS, POWER = 1024, 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,39 +47,58 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
-_BIT = np.zeros(256, np.uint64)
-for _c in range(97, 123):
-    _BIT[_c] = 1 << (_c - 97)
-for _c in range(128, 256):
-    _BIT[_c] = 1 << (26 + _c % 32)
-#: A bit for each pair of letters; pairs up to NEAR apart count as a word's.
-_PAIR = np.uint64(1) << (mix64(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(58))
-NEAR = 3
-
-
-def _sets(letters: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letters and near pairs of words that begin at start, as bits. A pair over two words counts for the first: it may only add a bit."""
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    near = np.zeros(len(letters), np.uint64)
-    for d in range(1, NEAR + 1):
-        near[:-d] |= _PAIR[letters[:-d].astype(np.uint16) * np.uint16(256) + letters[d:]]
-    return np.bitwise_or.reduceat(_BIT[letters], start), np.bitwise_or.reduceat(near, start)
+#: Words whose kernels are kept, token rows of kernels and letter triples of words that are held at once.
+KNOWN, SLICE, TRIPLES = 200_000, 1 << 16, 1 << 18
+
+
+def _kind(point: int) -> int:
+    """1: a letter, or a mark that is one in its script; 2: white space; 0: all else, as accents laid over letters and what is not seen."""
+    if 0x300 <= point < 0x370 or 0xFE00 <= point < 0xFE10 or 0xE0100 <= point < 0xE01F0 or point in (0x115F, 0x1160, 0x3164, 0xFFA0):
+        return 0
+    return {"L": 1, "M": 1, "Z": 2}.get(unicodedata.category(chr(point))[0], 0)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    return np.array([_kind(i) for i in range(1 << 16)], np.uint8)
+
+
+def _classes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to letters, and where white space is."""
+    letter, white = _LETTER[raw], _WHITE[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        head = raw[lead].astype(np.int64)
+        size = 2 + (head >= 0xE0) + (head >= 0xF0)
+        point = head & (0x7F >> size)
+        for k in range(1, 4):
+            m = np.flatnonzero(size > k)
+            point[m] = point[m] << 6 | raw[lead[m] + k] & 0x3F
+        kind = _kinds()[np.minimum(point, 0xFFFF)]
+        far = np.flatnonzero(point > 0xFFFF)
+        if len(far):
+            some, back = np.unique(point[far], return_inverse=True)
+            kind[far] = np.array([_kind(int(i)) for i in some], np.uint8)[back]
+        for k in range(4):
+            m = np.flatnonzero(size > k)
+            letter[lead[m] + k] = kind[m] == 1
+        white[lead] = kind == 2
+    return letter, white
 
 
 class Tokens:
     """Words of a chunk in lower case: letters between white space, other characters left out, spelt-out words joined.
 
-    letters, start, end: bytes; row: of the chunk; sentence: increasing over the chunk, never over two rows; bits: letters
-    that it has; pairs: hashed pairs of its letters that are near each other.
+    letters, start, end: bytes; row: of the chunk; sentence: increasing over the chunk, never over two rows.
     """
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
         raw = _LOWER[raw]
-        at = np.flatnonzero(_LETTER[raw])
+        letter, white = _classes(raw)
+        at = np.flatnonzero(letter)
         self.letters = raw[at]
         rows = np.searchsorted(off, at, "right") - 1
-        gap = np.cumsum(_WHITE[raw])[at]
+        gap = np.cumsum(white)[at]
         fresh = np.ones(len(at), bool)
         fresh[1:] = (np.diff(gap) != 0) | (np.diff(rows) != 0)
         start = np.flatnonzero(fresh)
@@ -87,11 +111,15 @@ class Tokens:
         self.row = rows[start]
         stop = np.cumsum(_STOP[raw])
         self.sentence = stop[at[start]] + self.row if len(start) else start
-        self.bits, self.pairs = _sets(self.letters, start)
 
     def word(self, i: int) -> bytes:
         return self.letters[self.start[i] : self.end[i]].tobytes()
 
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, and which of them each word is."""
+        _, first, back = np.unique(RangeHash(BYTES[self.letters], WORDS).get(self.start, self.end), return_index=True, return_inverse=True)
+        return [self.word(i) for i in first], back
+
 
 def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(w) for w in words])
@@ -152,60 +180,76 @@ def _pieces(word: bytes) -> list[bytes]:
     return [word] if len(word) <= PIECE else [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
-@dataclass
+@cache
+def _places(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(3, n) places of all subsequences of three of so many characters, and their weights."""
+    at = np.array(list(combinations(range(size), ORDER)), np.int64).T
+    return at, DECAY ** (at[-1] - at[0] + 1.0)
+
+
 class Likeness:
-    """Kernels of words with landmarks.
+    """Kernels of words with all landmarks, none left out.
 
-    A word is compared only with landmarks of which it has, with one exception each, all letters and all pairs of
-    neighbours, these at most NEAR apart; the likeness to others is taken as zero. Landmarks of three or four letters
-    allow no exception.
+    The landmarks' triples of characters are numbered; a word's own are looked up, and each one found adds to the landmarks
+    that have it. That is the kernel as `kernel` has it, with work only for what two words share.
     """
 
-    marks: list[bytes]
-    whole: list[bool]
-    known: dict[bytes, np.ndarray] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.shown = [BEFORE + m + AFTER * w for m, w in zip(self.marks, self.whole, strict=True)]
-        self.bits, self.pairs = np.zeros(len(self.marks), np.uint64), np.zeros(len(self.marks), np.uint64)
-        for k, m in enumerate(self.marks):
-            a = np.frombuffer(m, np.uint8)
-            self.bits[k] = np.bitwise_or.reduce(_BIT[a])
-            self.pairs[k] = np.bitwise_or.reduce(_PAIR[a[:-1].astype(np.uint16) * np.uint16(256) + a[1:]])
-        spare = np.array([len(m) > 4 for m in self.marks], int)
-        self.need = np.bitwise_count(self.bits).astype(int) - spare
-        self.need2 = np.bitwise_count(self.pairs).astype(int) - spare
-
-    def near(self, k: int, bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(bits & self.bits[k]) >= self.need[k]) & (np.bitwise_count(pairs & self.pairs[k]) >= self.need2[k])
-
-    def close(self, bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Which of these words may be like some landmark."""
-        out = np.zeros(len(bits), bool)
-        for k in range(len(self.marks)):
-            out |= self.near(k, bits, pairs)
-        return out
+    def __init__(self, marks: list[bytes], whole: list[bool]):
+        self.marks, self.whole = marks, whole
+        self.shown = [BEFORE + m + AFTER * w for m, w in zip(marks, whole, strict=True)]
+        self.code = np.zeros(256, np.int64)
+        used = sorted(set(b"".join(self.shown)))
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.base = len(used) + 1
+        found: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        for k, (m, own) in enumerate(zip(self.shown, _own(self.shown), strict=True)):
+            at, weight = _places(len(m))
+            for t, w in zip(self._triples(self.code[np.frombuffer(m, np.uint8)][None, :], at)[0], weight, strict=True):
+                found[int(t)][k] += w / math.sqrt(own)
+        self.number = np.zeros(self.base**ORDER, np.int32)
+        self.number[list(found)] = np.arange(1, len(found) + 1)
+        self.first = np.cumsum([0, 0, *[len(v) for v in found.values()]])
+        self.mark = np.array([k for v in found.values() for k in v], np.int64)
+        self.part = np.array([w for v in found.values() for w in v.values()])
+        self.known: dict[bytes, int] = {}
+        self.store = np.zeros((0, len(marks)), np.float32)
+
+    def _triples(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (code[:, at[0]] * self.base + code[:, at[1]]) * self.base + code[:, at[2]]
+
+    def _kernels(self, shown: list[bytes]) -> np.ndarray:
+        """(words, landmarks) of padded words."""
+        out, size = np.zeros((len(shown), len(self.marks))), np.array([len(w) for w in shown])
+        for s in np.unique(size):
+            at, weight = _places(int(s))
+            rows = np.flatnonzero(size == s)
+            for part in np.array_split(rows, len(rows) * len(weight) // TRIPLES + 1):
+                if not len(part):
+                    continue
+                code = self.code[np.frombuffer(b"".join([shown[i] for i in part]), np.uint8).reshape(len(part), s)]
+                number = self.number[self._triples(code, at)].ravel()
+                hit = np.flatnonzero(number)
+                number = number[hit]
+                count = self.first[number + 1] - self.first[number]
+                each = np.repeat(np.arange(len(hit)), count)
+                place = np.arange(len(each)) + np.repeat(self.first[number] - np.cumsum(count) + count, count)
+                cell = (hit // len(weight))[each] * len(self.marks) + self.mark[place]
+                value = weight[hit % len(weight)][each] * self.part[place]
+                out[part] = np.bincount(cell, value, len(part) * len(self.marks)).reshape(len(part), -1)
+        return out / np.sqrt(np.maximum(_own(shown), 1e-30))[:, None]
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """(words, landmarks); values of words seen before are kept, up to a bound."""
-        if len(self.known) > 200_000:
-            self.known.clear()
+        if len(self.known) > KNOWN:
+            self.known, self.store = {}, self.store[:0]
         new = sorted({w for w in words if w not in self.known})
         if new:
             parts = [(i, p) for i, w in enumerate(new) for p in _pieces(w) if p]
-            owner, pieces = np.array([i for i, _ in parts]), [p for _, p in parts]
-            shown = [BEFORE + p + AFTER for p in pieces]
-            own = _own(shown)
-            flat = np.frombuffer(b"".join(pieces), np.uint8)
-            bits, pairs = _sets(flat, np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]))
-            value = np.zeros((len(new), len(self.marks)), np.float32)
-            for k, m in enumerate(self.marks):
-                at = np.flatnonzero(self.near(k, bits, pairs))
-                if len(at):
-                    v = kernel([shown[i] for i in at], self.shown[k], own[at])
-                    np.maximum.at(value[:, k], owner[at], np.where(v >= LEAST, v, 0).astype(np.float32))
-            self.known.update(zip(new, value, strict=True))
-        return np.stack([self.known[w] for w in words]) if words else np.zeros((0, len(self.marks)), np.float32)
+            value = self._kernels([BEFORE + p + AFTER for _, p in parts])
+            first = np.flatnonzero(np.diff([-1, *[i for i, _ in parts]]))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.store = np.vstack([self.store, np.maximum.reduceat(value, first, axis=0).astype(np.float32)])
+        return self.store[np.fromiter((self.known[w] for w in words), np.int64, len(words))]
 
 
 @dataclass
@@ -216,27 +260,50 @@ class Model:
     intercept: float
     slope: float
     shift: float
+    curve: np.ndarray
+
+    def margin(self, values: np.ndarray) -> np.ndarray:
+        return rarity(values, self.curve) @ self.coef + self.intercept
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
+def _curve(clean: np.ndarray) -> np.ndarray:
+    """(STEPS + 1, landmarks): the power of the logarithm of the part of clean sentences with at least that likeness, 0 for all and 1 for none."""
+    n, at = len(clean), _steps(clean)
+    count = np.stack([np.bincount(at[:, k], minlength=STEPS + 1)[::-1].cumsum()[::-1] for k in range(at.shape[1])], 1)
+    return (np.log((n + 1) / (count + 1)) / math.log(n + 1)) ** POWER
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.clip(values * STEPS + 1e-3, 0, STEPS).astype(np.int64)
+
+
+def rarity(values: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    return curve[_steps(values), np.arange(curve.shape[1])]
+
+
 def sentences(tokens: Tokens, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and landmark vectors of the sentences that have a word like a landmark."""
-    at = np.flatnonzero(like.close(tokens.bits, tokens.pairs))
-    values = like.of([tokens.word(i) for i in at])
-    some = values.any(1) if len(at) else np.zeros(0, bool)
-    at, values = at[some], values[some]
-    if not len(at):
-        return np.zeros(0, np.int64), values
-    first = np.flatnonzero(np.append(True, np.diff(tokens.sentence[at]) != 0))
-    return tokens.row[at[first]], np.maximum.reduceat(values, first, axis=0)
+    """Rows and landmark vectors of the sentences that have a word."""
+    if not len(tokens.start):
+        return np.zeros(0, np.int64), np.zeros((0, len(like.marks)), np.float32)
+    words, which = tokens.distinct()
+    values = like.of(words)
+    fresh = np.append(True, np.diff(tokens.sentence) != 0)
+    number = np.cumsum(fresh) - 1
+    out = np.zeros((number[-1] + 1, len(like.marks)), np.float32)
+    for a in range(0, len(which), SLICE):
+        n = number[a : a + SLICE]
+        first = np.flatnonzero(np.append(True, np.diff(n) != 0))
+        out[n[first]] = np.maximum(out[n[first]], np.maximum.reduceat(values[which[a : a + SLICE]], first, axis=0))
+    return tokens.row[np.flatnonzero(fresh)], out
 
 
 def _margins(raw: np.ndarray, off: np.ndarray, model: Model, like: Likeness) -> np.ndarray:
     out = np.full(len(off) - 1, model.intercept)
     rows, values = sentences(Tokens(raw, off), like)
-    np.maximum.at(out, rows, values @ model.coef + model.intercept)
+    np.maximum.at(out, rows, model.margin(values))
     return out
 
 
@@ -281,7 +348,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     if not marks:
         return None
     like = Likeness(marks, whole)
-    # Sentences: of toxic documents those that are like a landmark at all, of clean ones all such; the rest is at zero.
+    # Sentences: of toxic documents those that are most like a landmark, of clean ones all, and an empty one for each.
     rows, values = [], []
     for a, t in held:
         r, v = sentences(t, like)
@@ -289,22 +356,24 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
         values.append(v)
     row, value = np.concatenate(rows), np.vstack(values)
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    curve = _curve(np.vstack([value[toxic[row] == 0], np.zeros((n0, value.shape[1]))]))
+    value = rarity(value, curve)
     best = np.zeros(len(texts))
     np.maximum.at(best, row, value.max(1))
     witness = (toxic[row] == 0) | (value.max(1) >= 0.9 * best[row])
     row, value = row[witness], value[witness]
-    sign = np.concatenate([np.where(toxic[row] == 1, 1.0, -1.0), -np.ones(max(1, n0))])
+    sign = np.concatenate([np.where(toxic[row] == 1, 1.0, -1.0), -np.ones(n0)])
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
-    value = np.vstack([value, np.zeros((max(1, n0), value.shape[1]), value.dtype)]).astype(np.float64)
+    value = np.vstack([value, np.zeros((n0, value.shape[1]))])
     for last in (False, True):
-        to = inverse_root(np.array([kernel(like.shown, m) for m in like.shown]), 1e-3)
+        to = inverse_root(np.array([kernel(like.shown, m) for m in like.shown]) ** POWER, 1e-3)
         coef, intercept = svm(value @ to, sign, weight)
-        model = Model(like.marks, like.whole, to @ coef, intercept, 1.0, 0.0)
+        model = Model(like.marks, like.whole, to @ coef, intercept, 1.0, 0.0, curve)
         if not last:
             # Landmarks that say little go, with the words that are compared with them only.
             keep = np.flatnonzero(model.coef >= 0.5 * model.coef.max())
             like = Likeness([like.marks[k] for k in keep], [like.whole[k] for k in keep])
-            value = value[:, keep]
+            value, curve = value[:, keep], curve[:, keep]
     margin = np.concatenate([_margins(raw, off, model, like) for _, _, raw, off in chunks(column)])
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0)
     model.slope, model.shift = platt(margin, toxic.astype(float), weight)

@@ -362,6 +362,36 @@ def test_toxicity(spark, edges, nothing):
     assert toxicity.fit(docs, labels) is None and toxicity.train(["a"], np.array([1]), 1.0) is None
 
 
+def test_likeness_of_all_words_is_the_kernel():
+    marks, whole = [b"scum", b"idiot", b"mor"], [True, True, False]
+    words = [b"scm", b"ixdxixoxt", b"scum", b"a", b"zq", "réeu".encode(), b"tomorrow"]
+    got = toxicity.Likeness(marks, whole).of(words)
+    for i, w in enumerate(words):
+        for k, m in enumerate(marks):
+            assert abs(got[i, k] - brute_kernel(b"^^" + w + b"$", b"^^" + m + b"$" * whole[k])) < 1e-6, (w, m)
+    assert got[0, 0] > 0.6 and 0.1 < got[1, 1] < 0.4
+
+
+def test_tokens_leave_out_what_is_not_a_letter():
+    raw = "i\u200bd\u2060i\u00ado\ufe0ft 日本\u3000語 e\u0301x\U0001f600y कि".encode()
+    t = toxicity.Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert [t.word(i).decode() for i in range(len(t.start))] == ["idiot", "日本", "語", "exy", "कि"]
+
+
+def test_censored_and_hidden_insults_are_toxic():
+    rng = np.random.default_rng(7)
+    clean = ["".join(rng.choice(list("aeionrst"), 6)) for _ in range(300)]
+    insult, label = ["moron", "idiot", "scum"], np.arange(400) % 5 == 0
+    texts = [" ".join([*rng.choice(clean, 40), *[insult[i // 5 % 3]] * int(label[i])]) for i in range(400)]
+    model = toxicity.train(texts, label.astype(int), 0.2)
+    forms = ["sc*m", "s\u200bc\u200bu\u200bm", "i\u200b\u200bd\u200b\u200bi\u200b\u200bo\u200b\u200bt", "i d i o t", "idixot", "m0ron"]
+    column = toxicity.pa.array([f"you {f} {clean[0]}" for f in [*forms, "ixdxixoxt", clean[1]]])
+    (_, _, raw, off), = toxicity.chunks(column)
+    score = model.score(toxicity._margins(raw, off, model, toxicity.Likeness(model.marks, model.whole)))
+    assert (score[: len(forms)] >= toxicity.THRESHOLD).all() and score[-1] < toxicity.THRESHOLD
+    assert score[-2] > score[-1]
+
+
 def test_machines():
     rng = np.random.default_rng(6)
     x = np.vstack([rng.normal(size=(50, 3)), rng.normal(size=(50, 3)) + 4])
