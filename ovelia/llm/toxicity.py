@@ -28,7 +28,8 @@ from .nystrom import inverse_root, platt, svm
 from .textarrays import BYTES, WORDS, RangeHash, chunks
 
 ORDER, DECAY = 3, 0.5
-LANDMARKS = 32
+#: Part of the admitted words that may be so by chance.
+CHANCE = 0.1
 #: Bound of the documents that the model is fitted on, for each label, and of a sampled document's characters.
 EACH, EACH_CHARS = 1500, 200_000
 #: Longer words are cut into overlapping pieces of this many bytes.
@@ -307,11 +308,19 @@ def _margins(raw: np.ndarray, off: np.ndarray, model: Model, like: Likeness) ->
     return out
 
 
-def _landmarks(held: list[tuple[int, Tokens]], toxic: np.ndarray, most: int) -> tuple[list[bytes], list[bool]]:
+def _tail(k: int, n: int, p: float) -> float:
+    """Probability of k or more of n, each with probability p."""
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    return min(1.0, sum(math.exp(log(i)) for i in range(k, n + 1)))
+
+
+def _landmarks(held: list[tuple[int, Tokens]], toxic: np.ndarray) -> tuple[list[bytes], list[bool]]:
     """Words, and beginnings of words, whose presence speaks most for a toxic document: by the log odds over their standard error.
 
-    They stand in a hundredth of toxic documents and at least eight times as often there as elsewhere. Of a word and its
-    beginning the one that speaks more is taken, the longer of two that say the same. The second list tells which are words.
+    They stand at least eight times as often in toxic documents as elsewhere, and more often than chance explains: the
+    binomial tail of their documents, at a false discovery rate over all words, asks a rare language's words for no share of
+    all documents. Of a word and its beginning the one that speaks more is taken, the longer of two that say the same. All
+    are kept. The second list tells which are words.
     """
     seen: dict[bytes, list[int]] = {}
     words: set[bytes] = set()
@@ -325,26 +334,28 @@ def _landmarks(held: list[tuple[int, Tokens]], toxic: np.ndarray, most: int) ->
         for r, w in pairs:
             seen.setdefault(w, [0, 0])[int(toxic[a + r])] += 1
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    rank = []
+    found = []
     for w, (c0, c1) in seen.items():
         p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
-        if c1 >= max(3, 0.01 * n1) and p1 > 8 * p0:
+        if c1 >= 3 and p1 > 8 * p0:
             z = (math.log(p1 / (1 - p1)) - math.log(p0 / (1 - p0))) / math.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
-            rank.append((-round(z, 2), -len(w), w))
+            found.append((_tail(c1, c0 + c1, n1 / (n0 + n1)), (-round(z, 2), -len(w), w)))
+    found.sort()
+    most = max((i for i, (p, _) in enumerate(found, 1) if p <= CHANCE * i / len(seen)), default=0)
     marks: list[bytes] = []
-    for _, _, w in sorted(rank):
-        if len(marks) < most and not any(m.startswith(w) or w.startswith(m) for m in marks):
+    for _, _, w in sorted(r for _, r in found[:most]):
+        if not any(m.startswith(w) or w.startswith(m) for m in marks):
             marks.append(w)
     return marks, [m in words for m in marks]
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LANDMARKS) -> Model | None:
+def train(texts: list[str], toxic: np.ndarray, share: float) -> Model | None:
     """A model of labelled texts; share is the part of toxic ones among all labelled rows, which the sample need not keep."""
     if not len(texts) or toxic.min() == toxic.max():
         return None
     column = pa.array(texts, pa.string())
     held = [(a, Tokens(raw, off)) for a, _, raw, off in chunks(column)]
-    marks, whole = _landmarks(held, toxic, landmarks)
+    marks, whole = _landmarks(held, toxic)
     if not marks:
         return None
     like = Likeness(marks, whole)
@@ -365,15 +376,9 @@ def train(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LA
     sign = np.concatenate([np.where(toxic[row] == 1, 1.0, -1.0), -np.ones(n0)])
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
     value = np.vstack([value, np.zeros((n0, value.shape[1]))])
-    for last in (False, True):
-        to = inverse_root(np.array([kernel(like.shown, m) for m in like.shown]) ** POWER, 1e-3)
-        coef, intercept = svm(value @ to, sign, weight)
-        model = Model(like.marks, like.whole, to @ coef, intercept, 1.0, 0.0, curve)
-        if not last:
-            # Landmarks that say little go, with the words that are compared with them only.
-            keep = np.flatnonzero(model.coef >= 0.5 * model.coef.max())
-            like = Likeness([like.marks[k] for k in keep], [like.whole[k] for k in keep])
-            value, curve = value[:, keep], curve[:, keep]
+    to = inverse_root(np.array([kernel(like.shown, m) for m in like.shown]) ** POWER, 1e-3)
+    coef, intercept = svm(value @ to, sign, weight)
+    model = Model(marks, whole, to @ coef, intercept, 1.0, 0.0, curve)
     margin = np.concatenate([_margins(raw, off, model, like) for _, _, raw, off in chunks(column)])
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0)
     model.slope, model.shift = platt(margin, toxic.astype(float), weight)
