@@ -180,7 +180,7 @@ QUERIES = {
     "mrca": _on(st.mrca),
     "purity": _on(st.purity_curve),
     "purity_index": _on(st.purity),
-    "neigh_sep": _on(lambda x: st.neighbourhood_separability(x, 8)),
+    "neigh_sep": _on(st.neighbourhood_separability),
     "svm_reduction": _on(_svm),
     "tree_depth": _on(_depth),
     "analyze_overlap": _on(_analysis),

@@ -32,3 +32,8 @@ def test_entry_has_the_queries():
     import __spark_entry__ as e
 
     assert set(q.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_neigh_sep_has_all_resolutions(spark, sf_dir):
+    x = q.cut(q.table_d(spark, sf_dir))
+    assert q.QUERIES["neigh_sep"](spark, sf_dir).collect() == q.st.neighbourhood_separability(x, 32).collect()
