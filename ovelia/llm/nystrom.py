@@ -45,18 +45,32 @@ def svm(features: np.ndarray, sign: np.ndarray, weight: np.ndarray, penalty: flo
     return coef[:-1], float(coef[-1])
 
 
-def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """(a, c) of a logistic fit of label to a * margin + c, by Newton steps."""
-    x = np.stack([margin, np.ones_like(margin)], 1)
-    w = weight / weight.sum()
-    coef = np.zeros(2)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-        g = x.T @ (w * (p - label)) + 1e-4 * coef * [1, 0]
-        h = (x * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-4 * np.diag([1.0, 1e-6])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        coef -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(coef[0]), float(coef[1])
+def logistic(facts: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 100, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a weighted logistic fit, by Newton steps; a fact that would speak against the label gets slope 0.
+
+    Facts are measured in their deviations, in which the penalty is. A step is halved until it lowers the loss.
+    """
+    w, used = weight / weight.sum(), list(range(facts.shape[1]))
+    middle = w @ facts
+    scale = np.maximum(np.sqrt(w @ (facts - middle) ** 2), 1e-9)
+    while True:
+        x = np.hstack([((facts - middle) / scale)[:, used], np.ones((len(facts), 1))])
+        keep = np.append(np.full(len(used), penalty), penalty * 1e-6)
+        loss = lambda c: w @ (np.logaddexp(0, x @ c) - label * (x @ c)) + c @ (keep * c) / 2
+        coef = np.zeros(len(keep))
+        now = loss(coef)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
+            h = (x * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(keep)
+            step, size = np.linalg.solve(h, x.T @ (w * (p - label)) + keep * coef), 1.0
+            while size > 1e-6 and loss(coef - size * step) > now:
+                size /= 2
+            coef = coef - size * step
+            before, now = now, loss(coef)
+            if before - now < 1e-12:
+                break
+        if not used or coef[:-1].min() >= 0:
+            slope = np.zeros(facts.shape[1])
+            slope[used] = coef[:-1] / scale[used]
+            return slope, float(coef[-1] - slope @ middle)
+        used.pop(int(np.argmin(coef[:-1])))

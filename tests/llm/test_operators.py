@@ -317,23 +317,76 @@ def test_deep_tree(spark):
 # --- 9 ---
 
 
-def brute_kernel(s, t, order=toxicity.ORDER, decay=toxicity.DECAY):
+def brute_dot(s, t, order=toxicity.ORDER, decay=toxicity.DECAY):
     from itertools import combinations
 
     def feats(x):
         out = Counter()
         for c in combinations(range(len(x)), order):
-            out[bytes(x[i] for i in c)] += decay ** (c[-1] - c[0] + 1)
+            out[tuple(x[i] for i in c)] += decay ** (c[-1] - c[0] + 1)
         return out
 
-    a, b = feats(s), feats(t)
-    dot = lambda p, q: sum(v * q[k] for k, v in p.items())
-    return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b)) if a and b else 0.0
+    b = feats(t)
+    return sum(v * b[k] for k, v in feats(s).items())
+
+
+def brute_kernel(s, t):
+    scale = np.sqrt(brute_dot(s, s) * brute_dot(t, t))
+    return brute_dot(s, t) / scale if scale else 0.0
+
+
+def brute_part(s, t):
+    return brute_dot(s, t) / brute_dot(t, t)
+
+
+def test_landmarks_cover_rare_languages():
+    """Insults in three alphabets, as stems with any ending; held-out recall in each language, false alarms over all."""
+    rng = np.random.default_rng(9)
+    tongues = {"a": (list("aeionrstl"), ["moron", "idiot", "scum"], 900), "é": (list("éèàçrtsom"), ["éçrém", "sàtço"], 150), "д": (list("дежзиклмн"), ["жлизм", "кнеди"], 150)}
+    texts, label, tongue = [], [], []
+    for name, (letters, insults, n) in tongues.items():
+        words = ["".join(rng.choice(letters, 5)) for _ in range(300)]
+        ends = ["".join(rng.choice(letters, 2)) for _ in range(30)]
+        for i in range(n):
+            w = list(rng.choice(words, 60))
+            if i % 6 == 0:
+                for _ in range(2):
+                    w[int(rng.integers(60))] = str(rng.choice(insults)) + (str(rng.choice(ends)) if name != "a" else "")
+            texts.append(". ".join(" ".join(w[k : k + 12]) for k in range(0, 60, 12)))
+            label.append(int(i % 6 == 0))
+            tongue.append(name)
+    label, tongue, held = np.array(label), np.array(tongue), np.arange(len(texts)) % 5 == 3
+    model = toxicity.train([t for t, h in zip(texts, held, strict=True) if not h], label[~held], 1 / 6)
+    got = scores(model, texts) >= toxicity.THRESHOLD
+    for name in tongues:
+        of = held & (tongue == name) & (label == 1)
+        assert of.sum() >= 4 and got[of].mean() >= 0.9, name
+    assert got[held & (label == 0)].mean() <= 0.03
+
+
+def scores(model, texts):
+    like = toxicity.Likeness(model.marks, model.whole)
+    return np.concatenate([model.score(toxicity._facts(toxicity.Tokens(raw, off), b - a, model, like)) for a, b, raw, off in toxicity.chunks(toxicity.pa.array(texts, "string"))])
+
+
+def test_landmark_candidates_count_documents():
+    texts = ["foobar foo", "foobaz foobar", "foob x", "ab fooxy", "foo foo", "é", "éçrém éçrét"]
+    toxic = np.array([1, 1, 1, 0, 0, 0, 1])
+    (_, _, raw, off), = toxicity.chunks(toxicity.pa.array(texts))
+    held = [(0, toxicity.Tokens(raw, off))]
+    begins = {t.decode(): list(r) for t, r, _ in toxicity._candidates(held, toxic, 3)}
+    assert begins == {} and toxicity._candidates(held, toxic, 0) == []
+    texts = [f"foo{x}" for x in "abcd"] + ["foo", "bar", "foox"] + ["none"] * 20
+    toxic = np.array([1] * 4 + [0] * 23)
+    (_, _, raw, off), = toxicity.chunks(toxicity.pa.array(texts))
+    (text, found, odds), = toxicity._candidates([(0, toxicity.Tokens(raw, off))], toxic, 3)
+    # The word foo does not go on, so one clean document has the beginning, of 23.
+    assert (text, list(found)) == (b"foo", [0, 1, 2, 3]) and abs(odds - np.log(4.5 / 5 / (1.5 / 24))) < 1e-9
 
 
 def test_subsequence_kernel():
-    for s, t in [(b"idiot", b"idiot"), (b"idxiot", b"idiot"), (b"abcabc", b"cab"), (b"xyz", b"idiot"), (b"aaaa", b"aaa")]:
-        assert abs(float(toxicity.kernel([s], t)[0]) - brute_kernel(s, t)) < 1e-9
+    for s, t in [("idiot", "idiot"), ("idxiot", "idiot"), ("abcabc", "cab"), ("xyz", "idiot"), ("aaaa", "aaa"), ("éçé", "çéçé")]:
+        assert abs(float(toxicity._raw_kernel(toxicity._padded([s]), toxicity._padded([t]))[0]) - brute_dot(s, t)) < 1e-9
 
 
 def test_tokens():
@@ -364,12 +417,15 @@ def test_toxicity(spark, edges, nothing):
 
 def test_likeness_of_all_words_is_the_kernel():
     marks, whole = [b"scum", b"idiot", b"mor"], [True, True, False]
-    words = [b"scm", b"ixdxixoxt", b"scum", b"a", b"zq", "réeu".encode(), b"tomorrow"]
+    words = [b"scm", b"ixdxixoxt", b"scum", b"a", b"zq", "réeu".encode(), b"tomorrow", b"mor", b"mxorons", b"morning"]
     got = toxicity.Likeness(marks, whole).of(words)
     for i, w in enumerate(words):
         for k, m in enumerate(marks):
-            assert abs(got[i, k] - brute_kernel(b"^^" + w + b"$", b"^^" + m + b"$" * whole[k])) < 1e-6, (w, m)
-    assert got[0, 0] > 0.6 and 0.1 < got[1, 1] < 0.4
+            # A beginning is compared with all but a word's last character, and normalised by itself.
+            v, n = "^^" + w.decode(), "^^" + m.decode()
+            want = brute_kernel(v + "$", n + "$") if whole[k] else min(1.0, brute_part(v[:-1], n))
+            assert abs(got[i, k] - want) < 1e-6, (w, m)
+    assert got[0, 0] > 0.6 and 0.1 < got[1, 1] < 0.4 and got[9, 2] == 1 > got[7, 2]
 
 
 def test_tokens_leave_out_what_is_not_a_letter():
@@ -385,9 +441,7 @@ def test_censored_and_hidden_insults_are_toxic():
     texts = [" ".join([*rng.choice(clean, 40), *[insult[i // 5 % 3]] * int(label[i])]) for i in range(400)]
     model = toxicity.train(texts, label.astype(int), 0.2)
     forms = ["sc*m", "s\u200bc\u200bu\u200bm", "i\u200b\u200bd\u200b\u200bi\u200b\u200bo\u200b\u200bt", "i d i o t", "idixot", "m0ron"]
-    column = toxicity.pa.array([f"you {f} {clean[0]}" for f in [*forms, "ixdxixoxt", clean[1]]])
-    (_, _, raw, off), = toxicity.chunks(column)
-    score = model.score(toxicity._margins(raw, off, model, toxicity.Likeness(model.marks, model.whole)))
+    score = scores(model, [f"you {f} {clean[0]}" for f in [*forms, "ixdxixoxt", clean[1]]])
     assert (score[: len(forms)] >= toxicity.THRESHOLD).all() and score[-1] < toxicity.THRESHOLD
     assert score[-2] > score[-1]
 
@@ -398,8 +452,8 @@ def test_machines():
     s = np.repeat([-1.0, 1.0], 50)
     coef, b = nystrom.svm(x, s, np.ones(100))
     assert (np.sign(x @ coef + b) == s).all()
-    a, c = nystrom.platt(x @ coef + b, (s > 0).astype(float), np.ones(100))
-    assert a > 0
+    (a, none), _ = nystrom.logistic(np.stack([x @ coef + b, -(x @ coef)], 1), (s > 0).astype(float), np.ones(100))
+    assert a > 0 and none == 0  # the second fact speaks against the label
 
 
 # --- 10 ---
