@@ -1,28 +1,36 @@
 """Exact dedup over an extendible-hash index on shared files.
 
-Texts are equal when they are after white space is deleted. Each document has a 64-bit key of its normalised text. The
-index is a directory of slots (the key's first bits; it doubles where a bucket is overfull, which splits in two) and
-one page per distinct key, in files under the shared checkpoint folder, each of which an owner task writes for a range
-of keys. A page has the key's chain: its number of rows and its head. Rows of a key are compared with their head byte
-by byte; rows that differ (a collision of keys) form the next chain of that key, until none is left.
-
-Copies of one text are summed before they are dealt out by key, and compared by a join with one head per key, which
-can be split; so a text that a third of all rows share makes no large task.
+Texts are equal when they are after white space is deleted. Each row has a 64-bit key of its normalised text. The index
+is a folder of shared files: `directory`, the slots (a key's first bits) with the bucket that each points to, which doubles
+where a bucket is overfull and splits in two, and `pages`, the buckets' pages, one folder for each owner of a run of buckets.
+
+Building: keys are counted, and the directory grows over the counts. Texts of keys that more than one row has are compared
+byte by byte where equal ones meet, then dealt out to the owner of their key's bucket, found through the directory; an owner
+task sorts its range of keys and chains the different texts of one key, a page each. A key of one row has a page without a
+text. Looking up: a row's key leads through the directory to its bucket, the bucket and the key to the chain, and in the
+chain the text's SHA-256 to the page, which has the group's number of rows and the row that stays.
+
+Copies of one text are summed before they are dealt out, so a text that a third of all rows share comes to its owner once
+from each task; rows are looked up by a join that can be split.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, cut, ensure_checkpoint_dir
+from .common import SPACE, cut, ensure_checkpoint_dir
 
 #: Bits of a key by which pages are counted; the directory has at most 2**16 slots, whatever the input.
 DIRECTORY_BITS = 16
 #: Pages in a bucket before it splits; larger where 2**16 slots would not do.
 BUCKET_PAGES = 50_000
+#: Runs of buckets, each with one owner task.
+OWNERS = 1024
+#: Keys of 8 bytes up to which they are broadcast, so that only texts of these keys are dealt out; beyond it all texts are.
+BROADCAST_KEYS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -61,22 +69,43 @@ def _cell(key: Column) -> Column:
     return F.shiftrightunsigned(key, 64 - DIRECTORY_BITS).cast("int")
 
 
-def build_index(entries: DataFrame, path: str, capacity: int = BUCKET_PAGES) -> DataFrame:
-    """Writes the index of entries(key, doc_id) to path: directory/ and pages/ (one file per range of buckets). Returns the pages, reread."""
-    spark = entries.sparkSession
-    pages = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")))
-    counts = {r["cell"]: r["count"] for r in pages.groupBy(_cell(F.col("key")).alias("cell")).count().collect()}  # 2**16 rows at most
+def write_directory(spark: SparkSession, path: str, counts: dict[int, int], capacity: int, owners: int = OWNERS) -> None:
+    """Writes path/directory: slot, bucket, owner. Owners have runs of buckets in the order of their keys."""
     capacity = max(capacity, 4 * sum(counts.values()) >> DIRECTORY_BITS)
     slots, buckets = grow_directory(counts, capacity)
-    rows = [(b, first, first + (1 << (DIRECTORY_BITS - local)), local) for b, (first, local) in buckets.items()]
-    directory = spark.createDataFrame(rows, "bucket int, first int, past int, depth int")
-    directory.coalesce(1).write.parquet(f"{path}/directory")
-    # Buckets lie in the order of their keys, so an owner task's range of keys is a run of buckets.
-    bounds = sorted(r[1] for r in rows)
-    bucket = F.element_at(F.lit(slots), F.shiftright(_cell(F.col("key")), DIRECTORY_BITS - (len(slots).bit_length() - 1)) + 1)
-    owned = pages.withColumn("bucket", bucket).repartitionByRange(len(bounds), _cell(F.col("key"))).sortWithinPartitions("bucket", "key")
-    owned.write.parquet(f"{path}/pages")
-    return spark.read.parquet(f"{path}/pages")
+    order = {b: k for k, b in enumerate(sorted(buckets, key=lambda b: buckets[b][0]))}
+    rows = [(s, b, order[b] * min(owners, len(order)) // len(order)) for s, b in enumerate(slots)]
+    spark.createDataFrame(rows, "slot int, bucket int, owner int").coalesce(1).write.parquet(f"{path}/directory")
+
+
+def through_directory(rows: DataFrame, path: str) -> DataFrame:
+    """rows(key, ...) with bucket and owner, as the directory at path has them; its slots, 2**16 at most, go with the plan."""
+    slots = sorted(tuple(r) for r in rows.sparkSession.read.parquet(f"{path}/directory").select("slot", "bucket", "owner").collect())
+    slot = F.shiftright(_cell(F.col("key")), DIRECTORY_BITS - (len(slots).bit_length() - 1))
+    at = lambda k: F.element_at(F.lit([s[k] for s in slots]), slot + 1)
+    return rows.withColumn("bucket", at(1)).withColumn("owner", at(2))
+
+
+def build_index(entries: DataFrame, texts: DataFrame, path: str, capacity: int = BUCKET_PAGES) -> DataFrame:
+    """Writes the index of entries(key, sha, best) and texts(key, norm, best) of the same rows to path; returns its pages.
+
+    A page: bucket, key, chain, sha (null where the key has one row), n, best. best orders the rows of a group, the least stays.
+    """
+    spark = entries.sparkSession
+    keys = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best")))
+    counts = {r["cell"]: r["count"] for r in keys.groupBy(_cell(F.col("key")).alias("cell")).count().collect()}  # 2**16 rows at most
+    write_directory(spark, path, counts, capacity)
+    many = keys.where("n > 1").select("key")
+    if many.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        many = F.broadcast(many)
+    same = texts.join(many, "key", "left_semi").groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best"))
+    dealt = through_directory(same, path).repartition("owner")
+    chained = dealt.withColumn("chain", F.row_number().over(Window.partitionBy("owner", "bucket", "key").orderBy("norm")) - 1)
+    chained = chained.select("owner", "bucket", "key", "chain", F.sha2("norm", 256).alias("sha"), "n", "best")
+    single = through_directory(keys.where("n = 1"), path).select("owner", "bucket", "key", F.lit(0).alias("chain"), F.lit(None).cast("string").alias("sha"), "n", "best")
+    chained.write.partitionBy("owner").parquet(f"{path}/pages")
+    single.repartition("owner").write.mode("append").partitionBy("owner").parquet(f"{path}/pages")
+    return spark.read.schema(f"bucket int, key long, chain int, sha string, n long, best {chained.schema['best'].dataType.simpleString()}, owner int").parquet(f"{path}/pages")
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = BUCKET_PAGES) -> DataFrame:
@@ -84,49 +113,35 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     Of equal texts the row with the most code points in its original text stays, then the smallest doc_id. Null and
     empty texts are equal to each other. Rows that share a doc_id are rows of their own: where text, length and doc_id
-    tie, the one with the smallest row number of this run stays. Null doc_ids come after others. The index stays at
-    path if one is given, else it goes when the chains are verified.
+    tie, the first in the order of a hash of the original text stays; rows that are equal in all of these count
+    all, and the one with the smallest row number of this run stays. Null doc_ids come after others. The index stays at
+    path if one is given, else it goes when all rows are looked up. An empty table gives an empty result; docs' other
+    columns are not looked at.
     """
     spark, own = docs.sparkSession, path is None
     path = path or f"{ensure_checkpoint_dir(spark)}/exact-{uuid.uuid4().hex}"
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     norm = normalised(F.col("text"))
-    read = base.select("doc_id", F.xxhash64(norm).alias("key"), norm.alias("norm"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
-    entries = cut(read.select("doc_id", "key", "chars", F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
-    pages = build_index(entries, path, capacity)
-    verified, level = None, 0
-    chain = pages.where("n > 1").select("key", "head")
-    rest = read.select("doc_id", "key", "norm")
-    while True:
-        # With few chains their keys are broadcast, so that only members' texts are dealt out; else all texts are.
-        few = chain.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        members = rest.join(F.broadcast(chain.select("key")), "key", "left_semi") if few else rest
-        found = rest.join(F.broadcast(chain) if few else chain, "key").where(F.col("doc_id").eqNullSafe(F.col("head")))
-        heads = cut(found.groupBy("key").agg(F.min("norm").alias("head_norm")))
-        # One head per key, so that Spark can split a key with many members.
-        same = cut(members.join(heads, "key").select("doc_id", "key", F.lit(level).alias("chain"), (F.col("norm") == F.col("head_norm")).alias("same")))
-        hit = same.where("same").select("doc_id", "key", "chain").distinct()
-        verified = hit if verified is None else verified.unionByName(hit)
-        miss = same.where("not same")
-        if miss.isEmpty():
-            break
-        level += 1
-        ids = cut(miss.select("doc_id", "key").distinct())
-        chain = cut(ids.groupBy("key").agg(F.min("doc_id").alias("head")))
-        rest = rest.join(ids.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    best = lambda *more: F.struct((-chars).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("d"), *more)
+    read = base.select("doc_id", F.xxhash64(norm).alias("key"), norm.alias("norm"), best().alias("best"))
+    entries = cut(read.select("doc_id", "key", "best", F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("row")))
+    pages = build_index(entries, read, path, capacity)
+    found = through_directory(entries, path).drop("owner")
+    at = pages.select(F.col("bucket").alias("b2"), F.col("key").alias("k2"), F.col("sha").alias("s2"), F.col("n").alias("group_size"), F.col("best").alias("first"))
+    # A key of one row has one page, and no text to tell apart.
+    out = found.join(at, (F.col("bucket") == F.col("b2")) & (F.col("key") == F.col("k2")) & (F.col("s2").isNull() | (F.col("sha") == F.col("s2"))))
+    out = out.withColumn("is_first", F.struct("best.a", "best.b", "best.d") == F.struct("first.a", "first.b", "first.d")).withColumn("is_first", F.col("is_first") & F.col("best.c").eqNullSafe(F.col("first.c")))
+    out = cut(out.select("doc_id", F.col("first.c").alias("keep_id"), "group_size", "is_first", F.col("sha").alias("text_sha256"), "row"))
+    # Rows that are first in their group and equal in all that orders it: one of them stays.
+    ties = out.where("is_first").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("least")).where("m > 1")
     if own:  # all that follows is in checkpoints
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    if level:
-        in_chain = verified.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "chain")
-        entries = entries.join(in_chain, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-        entries = entries.withColumn("chain", F.coalesce("chain", F.lit(0))).drop("_d", "_k")
-    else:
-        entries = entries.withColumn("chain", F.lit(0))
-    order = F.struct((-F.col("chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
-    groups = entries.groupBy("key", "chain").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
-    out = entries.join(groups, ["key", "chain"])
-    return out.select("doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("row") == F.col("best.d")).alias("kept"), "text_sha256")
+    if not ties.isEmpty():
+        ties = ties.select(F.col("text_sha256").alias("t2"), "least")
+        out = out.join(ties, (F.col("text_sha256") == F.col("t2")) & F.col("is_first"), "left").withColumn("is_first", F.col("is_first") & F.coalesce(F.col("row") == F.col("least"), F.lit(True)))
+    return out.select("doc_id", "keep_id", "group_size", F.col("is_first").alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -141,9 +156,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     once = docs.join(repeats, docs[doc_id].eqNullSafe(repeats["_again"]), "left_anti")
     once = once.join(keep, once[doc_id].eqNullSafe(keep["_keep"]), "left_semi")
     again = docs.join(repeats, docs[doc_id].eqNullSafe(repeats["_again"]), "left_semi")
-    row = again.select(F.struct(*columns).alias("_row"), F.col(doc_id).alias("_id"), F.coalesce(F.length(text), F.lit(0)).alias("_chars"), F.sha2(normalised(F.col(text)), 256).alias("_text"))
+    row = again.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(doc_id).alias("_id"), F.coalesce(F.length(text), F.lit(0)).alias("_chars"), F.sha2(normalised(F.col(text)), 256).alias("_text"))
     row = row.join(keep, row["_id"].eqNullSafe(keep["_keep"]) & (F.col("_text") == F.col("_sha")), "left_semi")
-    first = Window.partitionBy("_id", "_text").orderBy(F.desc("_chars"))
+    first = Window.partitionBy("_id", "_text").orderBy(F.desc("_chars"), F.xxhash64("_row"))
     return once.unionByName(row.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*"))
 
 

@@ -238,6 +238,24 @@ def test_colliding_keys(spark, monkeypatch):
     assert got == {0: (2, 2), 2: (2, 2), 1: (5, 3), 4: (5, 3), 5: (5, 3), 3: (3, 1)}
 
 
+def test_rows_are_looked_up_through_the_directory(spark, tmp_path):
+    """Pages are found by the directory's buckets: with a slot that points elsewhere, its rows are lost."""
+    texts = [f"t{i % 60} x" for i in range(200)]
+    path = str(tmp_path / "index")
+    exact.exact_groups(make(spark, texts), path=path, capacity=4).count()
+    slots = spark.read.parquet(f"{path}/directory").orderBy("slot").collect()
+    pages = spark.read.parquet(f"{path}/pages").collect()
+    assert len({r["bucket"] for r in slots}) > 8 and len(pages) == 60 and {r["n"] for r in pages} == {3, 4}
+    at = {r["slot"]: (r["bucket"], r["owner"]) for r in slots}
+    for r in pages:
+        assert at[(r["key"] % 2**64) >> (64 - (len(slots).bit_length() - 1))] == (r["bucket"], r["owner"])
+    wrong = [(r["slot"], -1 if r["bucket"] == slots[0]["bucket"] else r["bucket"], r["owner"]) for r in slots]
+    spark.createDataFrame(wrong, "slot int, bucket int, owner int").write.mode("overwrite").parquet(f"{path}/directory")
+    keys = spark.read.parquet(f"{path}/pages").select("key", F.col("bucket").alias("was"))
+    moved = exact.through_directory(keys, path).where("bucket <> was").count()
+    assert moved == sum(r["bucket"] == slots[0]["bucket"] for r in pages) > 0
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = make(spark, ["x y", "x y", "xy", "z", "z", None], ids=[1, 1, 2, None, None, None])
     out = exact.deduplicated(docs)
