@@ -52,14 +52,21 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
+def once(messages: DataFrame) -> DataFrame:
+    """messages(tree, node, parent, score, role, text) with one row for each tree and node: of several the least by
+    parent, score, role and text, nulls first. It is chosen as a whole, whatever the partitions."""
+    row = F.struct("parent", "score", "role", "text")
+    return messages.groupBy("tree", "node").agg(F.min(row).alias("_m")).select("tree", "node", "_m.*")
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """messages(tree, node, parent, score) -> (tree, leaf, node, steps): all nodes from each leaf (steps 0) up to its root.
 
     A null parent, or one that the tree has not, makes a root. After k rounds a leaf has its nearest 2**k ancestors and
     `up` points 2**k levels up, so rounds grow with the logarithm of the depth. Nodes on a cycle have no leaf of their
-    own and are left out; a tree below a cycle is cut where the cycle would close.
+    own and are left out; a tree below a cycle is cut where the cycle would close. Nodes must stand once in a tree (see once()).
     """
-    m = messages.select("tree", "node", "parent").dropDuplicates(["tree", "node"])
+    m = messages.select("tree", "node", "parent")
     have = m.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
     up = m.join(have, m["tree"].eqNullSafe(have["t2"]) & (F.col("parent") == F.col("n2")) & (F.col("node") != F.col("n2"))).select("tree", "node", F.col("n2").alias("up"))
     up = cut(up)
@@ -82,7 +89,7 @@ def paths(messages: DataFrame) -> DataFrame:
 
 def choose(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """The paths of each tree, ranked: the mean score of a path's messages, then the leaf. best=None keeps all of them."""
-    scored = messages.select(F.col("tree").alias("t6"), F.col("node").alias("n6"), F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["t6", "n6"])
+    scored = messages.select(F.col("tree").alias("t6"), F.col("node").alias("n6"), F.coalesce("score", F.lit(0.0)).alias("score"))
     at = paths(messages)
     at = cut(at.join(scored, at["tree"].eqNullSafe(scored["t6"]) & (F.col("node") == F.col("n6"))).select("tree", "leaf", "node", "steps", "score"))
     ranked = at.groupBy("tree", "leaf").agg(F.avg("score").alias("path_score")).withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
@@ -104,12 +111,13 @@ def _formatted(batches: Iterator[pd.DataFrame], learn: str) -> Iterator[pd.DataF
 def format_trees(messages: DataFrame, best: int | None = 1, learn: str = "assistant") -> DataFrame:
     """messages(tree, node, parent, score, role, text) -> tree, leaf, rank, formatted, spans: each chosen path as one conversation.
 
-    A null role or text is empty. Repeated (tree, node) rows count once. Trees may be null. An empty table gives an empty
-    result. A conversation is one row, so its turns meet in one task; a tree's other branches do not.
+    A null role or text is empty. Of rows that repeat tree and node one counts (see once()). Trees may be null. An empty
+    table gives an empty result; other columns are not looked at. A conversation is one row, so its turns meet in one task; a tree's other branches do not.
     """
     ship(messages.sparkSession)
+    messages = cut(once(messages))
     at = choose(messages, best)
-    body = messages.select(F.col("tree").alias("t8"), F.col("node").alias("n8"), "role", "text").dropDuplicates(["t8", "n8"])
+    body = messages.select(F.col("tree").alias("t8"), F.col("node").alias("n8"), "role", "text")
     at = at.join(body, at["tree"].eqNullSafe(body["t8"]) & (F.col("node") == F.col("n8")))
     turns = F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("at"), "role", "text")))
     one = at.groupBy("tree", "leaf", "rank").agg(turns.alias("turns"))
@@ -146,7 +154,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
-    out = format_trees(cut(as_messages(talks)))
+    out = format_trees(as_messages(talks))
     return out.mapInPandas(_digest, "tree long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("tree", "conv_id")
 
 

@@ -112,6 +112,22 @@ def _copies() -> Column:
     return F.col("whole") + F.when(extra & (F.col("size") > 0), 1).otherwise(0)
 
 
+def _decided(docs: DataFrame, source: str, doc_id: str, text: str, max_epochs: float, seed: int, weight) -> DataFrame:
+    """_row (docs' columns as they are), size, source_size, target and copies of each row."""
+    col = lambda name: F.col(f"`{name}`")
+    base = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), col(source).alias("_s"), word_count(col(text)).alias("_n"), _hash(col(doc_id), seed).alias("_h"))
+    narrow = cut(base.select(F.col("_s").alias("src"), F.col("_n").alias("size"), F.col("_h").alias("h")))
+    return apply_plan(base, plan_mix(narrow, max_epochs, weight))
+
+
+def apply_plan(base: DataFrame, plan: DataFrame) -> DataFrame:
+    """base(_row, _s, _n, _h) with the decisions of its source."""
+    near = small(plan.select(F.struct("*").alias("_plan"), F.col("src").alias("_src")))
+    held = base.select("_row", "_s", F.col("_n").alias("size"), F.col("_h").alias("h"))
+    out = held.join(near, held["_s"].eqNullSafe(near["_src"])).select("_row", "size", "h", "_plan.*")
+    return out.select("_row", "size", "source_size", "target", _copies().cast("long").alias("copies"))
+
+
 def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", max_epochs: float = 3.0, seed: int = 17, weight=cyclic_weight) -> DataFrame:
     """docs with size, source_size, target, copies and taken: how often the mix takes each document.
 
@@ -120,34 +136,23 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     in the order of a seeded hash of doc_id until the target is reached, then smaller ones that still fit.
     Null sources are one source, after the others. Null and empty texts have size 0 and are taken whole times only.
     Rows that share doc_id and source are taken alike. An empty table gives an empty result. Columns of docs that have
-    the names of this operator's are replaced.
+    the names of this operator's are replaced; mixed_documents keeps them.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    base = docs.withColumn("_s", F.col(source)).withColumn("_n", word_count(F.col(text))).withColumn("_h", _hash(F.col(doc_id), seed))
-    narrow = cut(base.select(F.col("_s").alias("src"), F.col("_n").alias("size"), F.col("_h").alias("h")))
-    return apply_plan(base, plan_mix(narrow, max_epochs, weight))
-
-
-def apply_plan(base: DataFrame, plan: DataFrame) -> DataFrame:
-    kept = [c for c in base.columns if c not in ("_s", "_n", "_h")]
-    near = plan.select(F.struct("*").alias("_plan"), F.col("src").alias("_src"))
-    near = small(near)
-    held = base.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "_s", F.col("_n").alias("size"), F.col("_h").alias("h"))
-    out = held.join(near, held["_s"].eqNullSafe(near["_src"])).select("_row", "size", "h", "_plan.*")
-    out = out.withColumn("copies", _copies().cast("long"))
-    return out.select("_row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    own = ("size", "source_size", "target", "copies")
+    out = _decided(docs, source, doc_id, text, max_epochs, seed, weight)
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in (*own, "taken")]
+    return out.select(*kept, *own, (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' columns, each row as often as the mix takes it."""
-    columns = docs.columns
-    out = mix(docs, **options).where(F.col("copies") > 0)
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def mixed_documents(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", max_epochs: float = 3.0, seed: int = 17, weight=cyclic_weight) -> DataFrame:
+    """The mix itself: docs' rows with all their columns, whatever their names, each as often as the mix takes it."""
+    out = _decided(docs, source, doc_id, text, max_epochs, seed, weight).where(F.col("copies") > 0)
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    base = docs.select("doc_id", F.col("source").alias("_s"), word_count(F.col("text")).alias("_n"), _hash(F.col("doc_id"), 17).alias("_h"))
+    base = docs.select(F.struct("doc_id").alias("_row"), F.col("source").alias("_s"), word_count(F.col("text")).alias("_n"), _hash(F.col("doc_id"), 17).alias("_h"))
     base = cut(base)
     plan = plan_mix(base.select(F.col("_s").alias("src"), F.col("_n").alias("size"), F.col("_h").alias("h")))
-    return apply_plan(base, plan).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return apply_plan(base, plan).select("_row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

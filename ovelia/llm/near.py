@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import cut, small
+from ..functions.stages import numbered
 from ..operators.graphs import components
+from .common import cut, small
 from .textarrays import U, Words, chunks, mix64, stream
 
 WORDS = 5
@@ -187,22 +188,67 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, stay: dict[int
     yield from close()
 
 
-def _number(doc_id: Column) -> Column:
-    return doc_id.cast("long")
+def _nodes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) of each row, where doc is a number that only rows of the same doc_id and text share; and, unless it is
+    the doc_id everywhere, which doc_id and hash of the text each number is of.
+
+    It is where doc_id is an integer and stands once. Others are numbered: rows without one or with one that rows of
+    other texts have too, below all doc_ids; all rows in their order where doc_id is no integer.
+    """
+    base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    kind = base.schema["id"].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    odd = base.groupBy("id").count().where(F.col("id").isNull() | (F.col("count") > 1)).select("id")
+    if whole and odd.isEmpty():
+        return base.select(F.col("id").cast("long").alias("doc"), "text"), None
+    mark = F.xxhash64("text").alias("mark")
+    odd = cut(odd).select(F.col("id").alias("o"))
+    split = base.join(odd, F.col("id").eqNullSafe(F.col("o")), "left_semi") if whole else base
+    named = numbered(split.select("id", mark).distinct(), F.col("id").asc_nulls_last(), "mark")
+    least = (base.agg(F.min("id")).first()[0] or 0) - 1 if whole else 0
+    named = cut(named.select("id", "mark", (F.lit(least).cast("long") - F.col("n") if whole else F.col("n")).alias("doc")))
+    to = named.select(F.col("id").alias("i2"), F.col("mark").alias("m2"), "doc")
+    rows = split.withColumn("mark", mark).join(to, F.col("id").eqNullSafe(F.col("i2")) & (F.col("mark") == F.col("m2"))).select("doc", "text").dropDuplicates(["doc"])
+    if whole:
+        rest = base.join(odd, F.col("id").eqNullSafe(F.col("o")), "left_anti").withColumn("doc", F.col("id").cast("long"))
+        rows = rows.unionByName(rest.select("doc", "text"))
+        named = named.unionByName(rest.select("id", mark, "doc"))
+    return rows, named
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of each doc_id of docs.
+    """doc_id, class_id, n_links, n_copies of each document of docs.
 
     Two documents link when the Jaccard similarity of their sets of `words` consecutive words (between white space) is
     at least threshold; a text of fewer words has one shingle of all of them. n_links counts a document's links, those
-    to rows with the same words included; n_copies counts rows with the same words, itself included. class_id is the
-    smallest doc_id that is reached over links. Null, empty and blank texts link to nothing. doc_id is an integer key
-    of the table; rows without one are left out, rows that repeat one are one document. Recall: a pair at the threshold
-    shares no band with probability (1 - 0.8**4)**24 = 3e-6, and is pruned with at most the tolerance.
+    to documents with the same words included; n_copies counts documents with the same words, itself included. class_id
+    is the smallest doc_id that is reached over links, null only where none has one. Null, empty and blank texts link to
+    nothing. Rows of the same doc_id and text are one document; a doc_id with several texts is several documents, and
+    rows without a doc_id are documents by their text. An empty table gives an empty result; docs' other columns are not
+    looked at. Recall: a pair at the threshold shares no band with probability (1 - 0.8**4)**24 = 3e-6, and is pruned
+    with at most the tolerance.
     """
-    ship(docs.sparkSession)
-    base = docs.select(_number(F.col(doc_id)).alias("doc"), F.col(text).alias("text")).where("doc is not null")
+    return _classes(docs, doc_id, text, words, threshold, block).drop("mark")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """near_duplicates, with the hash of the text as mark where doc_ids do not tell documents apart, else null; first: the
+    document that stands for its class."""
+    base, named = _nodes(docs, doc_id, text)
+    got = _near_numbers(base, words, threshold, block)
+    if named is None:
+        return got.withColumnRenamed("doc", "doc_id").withColumn("first", F.col("doc_id") == F.col("class_id")).withColumn("mark", F.lit(None).cast("long"))
+    got = cut(got.join(named, "doc"))
+    # Of a class's documents the one with the smallest doc_id stands for it.
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("doc").alias("c"))
+    least = got.groupBy(F.col("class_id").alias("k")).agg(F.min(order).alias("least"))
+    got = got.join(least, F.col("class_id") == F.col("k"))
+    return got.select(F.col("id").alias("doc_id"), F.col("least.b").alias("class_id"), "n_links", "n_copies", (F.col("doc") == F.col("least.c")).alias("first"), "mark")
+
+
+def _near_numbers(base: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
+    """doc, class_id, n_links and n_copies of base(doc, text), doc an integer that only rows with the same text share."""
+    ship(base.sparkSession)
     # 1. One pass over all texts: hashes of the words, and bands.
     marks = cut(base.mapInArrow(lambda it: _bands(it, words, BANDS, ROWS), "doc long, h1 long, h2 long, bands array<long>"))
     full = marks.where(F.size("bands") > 0)
@@ -211,7 +257,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # 2. Buckets of two or more; of buckets with the same members one is kept.
     banded = full.join(reps, "doc").select("doc", "weight", F.explode("bands").alias("key"))
     print_ = F.xxhash64(F.lit(7), "doc")
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(print_, 24)).alias("p"), F.bit_xor(print_).alias("x")).where("n > 1")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.lit(8), "doc")).alias("p"), F.bit_xor(print_).alias("x")).where("n > 1")
     kept = cut(buckets.groupBy("n", "p", "x").agg(F.min("key").alias("key")).select("key", "n"))
     member = cut(banded.join(small(kept), "key").select("doc", "weight", "key", "n").distinct())
     keys = member.groupBy("doc").agg(F.first("weight").alias("weight"), F.sort_array(F.collect_list(F.struct("key", "n"))).alias("in"))
@@ -233,15 +279,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_rep = reps.join(links, "doc", "left").join(roots, F.col("doc") == F.col("node"), "left")
     of_rep = of_rep.select(F.col("doc").alias("rep"), "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "doc").alias("class_id"))
     every = full.select("doc", "h1", "h2").distinct().join(same.select("h1", "h2", "rep"), ["h1", "h2"]).join(of_rep, "rep")
-    every = every.select(F.col("doc").alias("doc_id"), "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("n_copies"))
-    alone = marks.where(F.size("bands") == 0).select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")).distinct()
+    every = every.select("doc", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("n_copies"))
+    alone = marks.where(F.size("bands") == 0).select("doc", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")).distinct()
     return every.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without documents of which a near duplicate of smaller doc_id stands for their class; all rows without a doc_id stay."""
-    drop = near_duplicates(docs, doc_id, text, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, docs[doc_id].cast("long") == drop["_drop"], "left_anti")
+    """docs without documents of which another one, that of the smallest doc_id, stands for their class; docs' columns, whatever their names."""
+    drop = cut(_classes(docs, doc_id, text, **options).where("not first").select(F.col("doc_id").alias("_drop"), F.col("mark").alias("_mark")))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_drop")) & F.coalesce(F.col("_mark") == F.xxhash64(F.col(f"`{text}`")), F.lit(True))
+    return docs.join(drop, same, "left_anti")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

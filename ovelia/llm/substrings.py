@@ -321,11 +321,18 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begins and ends, in bytes) of each row of docs.
 
     A byte is removed when a string of 50 bytes that covers it also starts in a document with a smaller doc_id; matches
-    do not cross documents. Null and empty texts have no bytes. doc_id is an integer key; rows without one are left out.
-    Rows that repeat a doc_id do not remove from each other.
+    do not cross documents. Null and empty texts have no bytes. doc_id is an integer. Of rows without one nothing is
+    removed, and they remove nothing: no doc_id is smaller or larger than theirs. Rows that repeat a doc_id do not remove
+    from each other. Segments are told apart by 64-bit keys of their bytes: over 100 TB the chance that two of those
+    whose anchors are equal share a key by accident is some 0.04. An empty table gives an empty result; docs' other
+    columns are not looked at. A text is worked on whole, in pieces of 256 kB, beside some 30 bytes for each of its bytes.
     """
     ship(docs.sparkSession)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc is not null")
+    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    size = F.octet_length("text").cast("long")
+    zero = F.lit(0).cast("long")
+    loose = base.where("doc is null").select(F.col("doc").alias("doc_id"), size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<bigint>").alias("spans"))
+    base = base.where("doc is not null")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(LEAST_GROUPS, -(-total // GROUP_BYTES))
     base = base.withColumn("dg", F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int"))
@@ -334,7 +341,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated, _sql(REPEATED))
     segments = texts().cogroup(repeated.groupBy("dg")).applyInArrow(lambda key, t, r: _segments(key, t, r, groups), _sql(SEGMENTS))
     firsts = segments.groupBy("bucket").applyInArrow(_firsts, _sql(FIRSTS))
-    return texts().cogroup(firsts.groupBy("dg")).applyInArrow(_remove, _sql(RESULT))
+    return texts().cogroup(firsts.groupBy("dg")).applyInArrow(_remove, _sql(RESULT)).unionByName(loose)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

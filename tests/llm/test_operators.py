@@ -58,9 +58,24 @@ def test_mix_comes_near_and_repeats(spark, edges, nothing):
     assert mixing.mix(edges).count() == len(EDGES) and mixing.mix(nothing).count() == 0
 
 
+def test_mixed_documents_keep_their_columns(spark):
+    docs = make(spark, ["a b c", "d e", "f"]).withColumn("target", F.lit("mine")).withColumn("copies", F.lit(-9)).withColumn("taken", F.lit("x")).withColumn("a.b", F.lit(1))
+    got = mixing.mixed_documents(docs).collect()
+    assert got[0].__fields__ == docs.columns and {(r["size"], r["target"], r["copies"], r["taken"]) for r in got} == {(-1, "mine", -9, "x")}
+
+
 # --- 2 ---
 
 
+def test_rows_without_doc_id_keep_their_bytes(spark):
+    text = " ".join(WORDS)
+    got = [r.asDict() for r in substrings.repeated_bytes(make(spark, [text, text, text, None], ids=[5, None, 7, None])).collect()]
+    by = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got}
+    n, whole, none = len(text), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(b"").hexdigest()
+    assert by == {(5, n): (0, 0, whole), (None, n): (0, 0, whole), (7, n): (n, 1, none), (None, 0): (0, 0, none)}
+
+
+
 def removed(texts):
     seen, out = {}, []
     for i, t in enumerate(texts):
@@ -167,6 +182,21 @@ def test_licence_sql(spark, sf_dir):
 # --- 4 ---
 
 
+def test_near_repeated_and_missing_ids(spark):
+    words = [f"v{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join([*words[:-1], "other"])
+    texts = [a, "something else altogether here now", b, "q w e", a, b, None, "z z z", "z z z"]
+    docs = make(spark, texts, ids=[1, 1, 2, 3, 4, None, None, None, None])
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["class_id"] or 0, r["n_links"], r["n_copies"]) for r in near.near_duplicates(docs).collect())
+    # Text a of documents 1 and 4, b of 2 and of one without doc_id; the other text of 1 is a document of its own.
+    assert got == [(False, 1, 1, 0, 1), (False, 1, 1, 3, 2), (False, 2, 1, 3, 2), (False, 3, 3, 0, 1), (False, 4, 1, 3, 2), (True, 0, 0, 0, 1), (True, 0, 0, 0, 1), (True, 0, 1, 3, 2)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in near.one_of_each(docs).collect())
+    assert kept == sorted([(1, a), (1, texts[1]), (3, "q w e"), (0, ""), (0, "z z z"), (0, "z z z")])
+    named = docs.where("doc_id is not null").selectExpr("concat('d', doc_id) as doc_id", "text as `te.xt`")
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(named.where("doc_id <> 'd1'"), text="te.xt").collect()}
+    assert got == {"d2": "d2", "d3": "d3", "d4": "d2"}
+
+
 def test_near_duplicates(spark, edges, nothing):
     rng = np.random.default_rng(3)
     texts = list(EDGES) + ["a b c d", "a b c d", "a b c e"]
@@ -362,6 +392,16 @@ def test_trees(spark):
     assert chat.format_trees(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_repeated_messages_count_once_and_whole(spark):
+    schema = "tree long, node long, parent long, score double, role string, text string"
+    two = [(1, 1, None, 1.0, "user", "b"), (1, 1, None, 0.5, "user", "y"), (1, 1, None, 0.5, "user", "x"), (1, 2, 1, 1.0, "assistant", None)]
+    got = set()
+    for parts in (1, 2, 4):
+        for order in (two, two[::-1]):
+            got |= {r["formatted"] for r in chat.format_trees(spark.createDataFrame(order, schema).repartition(parts)).collect()}
+    assert [chat.parse(f) for f in got] == [[("user", "x"), ("assistant", "")]]
+
+
 def test_deep_tree(spark):
     n = 70
     df = spark.createDataFrame([(1, i, i - 1 if i else None, 1.0, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(n)], "tree long, node long, parent long, score double, role string, text string")
