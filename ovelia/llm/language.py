@@ -26,6 +26,9 @@ LANDMARKS = 256
 #: Bound of the rows that the model is fitted on, for each language.
 EACH = 500
 PENALTY = 1e-4
+#: Score, 0.5 where a machine is undecided, below which a text is in none of the languages: far from all of them. Texts of
+#: one word reach 0.3.
+LEAST = 0.15
 #: Texts in a matrix product.
 ROWS = 256
 
@@ -118,9 +121,26 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """docs (columns of documents) without rows in no language: null texts and texts without a letter."""
-    columns = docs.columns
-    found = docs.select(F.struct(*columns).alias("doc_id"), F.col("text"))
-    found = identify(found, learn(docs))
-    return found.where("lang_pred <> 'und'").select("doc_id.*")
+def _accept(batches: Iterator[pa.RecordBatch], model: Model, text: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows, without their last column, that have a letter by it and whose best score is not below least."""
+    for batch in batches:
+        ok = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
+        for a, b, raw, off in chunks(batch.column(text), rows=ROWS):
+            ok[a:b] &= (model.scores(presence(raw, off)).max(1) + 1) / 2 >= least
+        yield batch.select(range(batch.num_columns - 1)).filter(pa.array(ok))
+
+
+def accepted(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
+    """docs(doc_id, lang, text, ...) without rows in no language: null texts, texts without a letter, and those that the
+    machine of no language scores at least `least`. All columns stay as they are, whatever their names. Where no row with
+    a language and a letter is there to learn from, all rows with a letter stay."""
+    ship(docs.sparkSession)
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    model = learn(docs)
+    if model is None:
+        return docs.where(letters)
+    at, schema = docs.columns.index(text), docs.schema
+    name = "_letters"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, letters).mapInArrow(lambda it: _accept(it, model, at, least), schema)

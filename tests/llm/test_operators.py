@@ -368,6 +368,15 @@ def test_presence():
     assert (q[0] == p[0]).all() and q[1].sum() == 3
 
 
+def test_accepted_by_score_and_without_model(spark):
+    texts = ["the cat and the dog", "der hund und die katze", "12 34 ...", None, "", "x"] * 5 + ["жзик лмнж дежз"]
+    docs = make(spark, texts, langs=[["en", "de", None, None, None, "en"][i % 6] if i < 30 else None for i in range(31)]).withColumn("a.b", F.lit(1))
+    kept = language.accepted(docs)
+    assert kept.columns == docs.columns and {r["text"] for r in kept.collect()} >= {texts[0], texts[1]}
+    assert {r["text"] for r in kept.collect()} <= {texts[0], texts[1], "x", texts[30]} and language.accepted(docs, least=1.1).count() == 0
+    assert sorted(r["doc_id"] for r in language.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).collect()) == [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
+
+
 # --- 8 ---
 
 
