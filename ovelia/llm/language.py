@@ -121,13 +121,13 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def _accept(batches: Iterator[pa.RecordBatch], model: Model, text: int, least: float) -> Iterator[pa.RecordBatch]:
+def _accept(batches: Iterator[pa.RecordBatch], model: Model, text: int, least: float, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows, without their last column, that have a letter by it and whose best score is not below least."""
     for batch in batches:
         ok = np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
         for a, b, raw, off in chunks(batch.column(text), rows=ROWS):
             ok[a:b] &= (model.scores(presence(raw, off)).max(1) + 1) / 2 >= least
-        yield batch.select(range(batch.num_columns - 1)).filter(pa.array(ok))
+        yield batch.select(range(batch.num_columns - 1)).filter(pa.array(ok)).rename_columns(names)
 
 
 def accepted(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
@@ -140,7 +140,5 @@ def accepted(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataF
     if model is None:
         return docs.where(letters)
     at, schema = docs.columns.index(text), docs.schema
-    name = "_letters"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, letters).mapInArrow(lambda it: _accept(it, model, at, least), schema)
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return rows.withColumn("letters", F.coalesce(F.col(f"c{at}").rlike(r"\p{L}"), F.lit(False))).mapInArrow(lambda it: _accept(it, model, at, least, schema.names), schema)
