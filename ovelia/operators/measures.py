@@ -73,26 +73,33 @@ def _overlap(a: dict, b: dict) -> list[tuple[float, float]]:
     return [(max(x, y), min(u, v)) for x, y, u, v in zip(a["lo"], b["lo"], a["hi"], b["hi"], strict=True)]
 
 
-def f2(df: DataFrame) -> DataFrame:
-    """(a, b, value): volume of the overlap of the classes' boxes, as a product over features of their shares."""
+def f2(df: DataFrame, by_class: bool = False) -> DataFrame:
+    """(a, b, value): volume of the overlap of the classes' boxes, as a product over features of their shares. by_class: of each class's own box."""
     out = []
     for a, b in _pairs(df):
-        v = 1.0
-        for k, (lo, hi) in enumerate(_overlap(a, b)):
-            whole = max(a["hi"][k], b["hi"][k]) - min(a["lo"][k], b["lo"][k])
-            v *= max(0.0, hi - lo) / whole if whole else 0.0
-        out.append((a["label"], b["label"], round(v, 6)))
-    return df.sparkSession.createDataFrame(out, "a int, b int, value double")
-
-
-def f3(df: DataFrame) -> DataFrame:
-    """(a, b, value): the least share, over features, of all rows that lie in the closed overlap of two classes."""
+        both = {"lo": [min(x) for x in zip(a["lo"], b["lo"], strict=True)], "hi": [max(x) for x in zip(a["hi"], b["hi"], strict=True)]}
+        for box in (a, b) if by_class else (both,):
+            v = 1.0
+            for k, (lo, hi) in enumerate(_overlap(a, b)):
+                whole = box["hi"][k] - box["lo"][k]
+                v *= max(0.0, hi - lo) / whole if whole else 0.0
+            out.append((a["label"], b["label"], box.get("label"), round(v, 6)))
+    return df.sparkSession.createDataFrame(out, "a int, b int, label int, value double").select("a", "b", *(["label"] if by_class else []), "value")
+
+
+def f3(df: DataFrame, by_class: bool = False) -> DataFrame:
+    """(a, b, value): the least share, over features, of all rows that lie in the closed overlap of two classes. by_class: of each class's rows."""
     out = []
     for a, b in _pairs(df):
         box = _overlap(a, b)
+        if by_class:
+            inside = lambda k: F.sum(F.col("features")[k].between(*box[k]).cast("int"))  # noqa: E731, B023
+            rows = df.where(F.col("label").isin(a["label"], b["label"])).groupBy("label").agg(F.least(*[inside(k) for k in range(len(box))], F.count(F.lit(1))).alias("c"), F.count(F.lit(1)).alias("n"))
+            out += [(a["label"], b["label"], r["label"], round(r["c"] / r["n"], 6)) for r in rows.collect()]
+            continue
         row = df.agg(*[F.sum(F.col("features")[k].between(lo, hi).cast("int")).alias(f"c{k}") for k, (lo, hi) in enumerate(box)]).first()
-        out.append((a["label"], b["label"], round(min(row) / (a["n"] + b["n"]), 6)))
-    return df.sparkSession.createDataFrame(out, "a int, b int, value double")
+        out.append((a["label"], b["label"], None, round(min(row) / (a["n"] + b["n"]), 6)))
+    return df.sparkSession.createDataFrame(out, "a int, b int, label int, value double").select("a", "b", *(["label"] if by_class else []), "value")
 
 
 def f4(df: DataFrame) -> DataFrame:
@@ -117,15 +124,16 @@ def f4(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "a int, b int, value double")
 
 
-def input_noise(df: DataFrame) -> DataFrame:
-    """(value): share of (row, feature) strictly inside another class's range."""
+def input_noise(df: DataFrame, by_class: bool = False) -> DataFrame:
+    """(value): share of (row, feature) strictly inside another class's range; by_class: of each class's rows."""
     moments = {r["label"]: r for r in class_moments(df).collect()}
     hit = F.lit(0)
     for label, m in moments.items():
         for k in range(len(m["mean"])):
             hit = hit + F.when((F.col("label") != label) & (F.col("features")[k] > m["lo"][k]) & (F.col("features")[k] < m["hi"][k]), 1).otherwise(0)
     d = len(next(iter(moments.values()))["mean"]) if moments else 1
-    return df.agg(_r(F.sum(hit) / (F.count(F.lit(1)) * d), "value"))
+    share = _r(F.sum(hit) / (F.count(F.lit(1)) * d), "value")
+    return df.groupBy("label").agg(share) if by_class else df.agg(share)
 
 
 # --- neighbours -----------------------------------------------------------------------------------------------------
@@ -181,9 +189,11 @@ def borderline_tags(nn: DataFrame) -> DataFrame:
     return own_counts(nn, 5).select(F.col("i").alias("id"), F.col("yi").alias("label"), tag.alias("tag"))
 
 
-def borderline(nn: DataFrame) -> DataFrame:
-    """(safe, borderline, rare, outlier): shares of rows."""
-    return borderline_tags(nn).agg(*[_r(F.avg((F.col("tag") == t).cast("int")), t) for t in ("safe", "borderline", "rare", "outlier")])
+def borderline(nn: DataFrame, by_class: bool = False) -> DataFrame:
+    """(safe, borderline, rare, outlier): shares of rows; by_class: of each class's rows."""
+    tags = borderline_tags(nn)
+    shares = [_r(F.avg((F.col("tag") == t).cast("int")), t) for t in ("safe", "borderline", "rare", "outlier")]
+    return tags.groupBy("label").agg(*shares) if by_class else tags.agg(*shares)
 
 
 def r_value(nn: DataFrame, counts: dict[int, int], k: int = K, theta: int = 2) -> DataFrame:
@@ -195,6 +205,28 @@ def r_value(nn: DataFrame, counts: dict[int, int], k: int = K, theta: int = 2) -
     return rows.agg(_r((pick(hi) + pick(lo) * ir) / (ir + 1), "value"))
 
 
+def r_by_class(nn: DataFrame, k: int = K, theta: int = 2) -> DataFrame:
+    """(label, value): R of each of two classes: the share of its rows with more than theta neighbours of the other one."""
+    return own_counts(nn, k).groupBy(F.col("yi").alias("label")).agg(_r(F.avg((F.col("k") - F.col("own") > theta).cast("int")), "value"))
+
+
+def r_pairs(nn: DataFrame, k: int = K, theta: int = 2) -> DataFrame:
+    """(a, b, value): augmented R of each pair of any number of classes; neighbours of other classes than the two do not count."""
+    near = nn.where(F.col("rk") <= k)
+    size = near.groupBy("yi").agg(F.count_distinct("i").alias("n")).collect()  # a row for each class
+    many = {r["yi"]: r["n"] for r in size}
+    votes = near.where("yi <> yj").groupBy("i", "yi", "yj").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > theta)
+    over = {(r["yi"], r["yj"]): r["n"] for r in votes.groupBy("yi", "yj").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = lambda a, b: over.get((a, b), 0) / many[a]
+    out = []
+    for a in sorted(many):
+        for b in (x for x in sorted(many) if x > a):
+            hi, lo = (a, b) if many[a] > many[b] else (b, a)
+            ir = many[hi] / many[lo]
+            out.append((a, b, round((share(hi, lo) + ir * share(lo, hi)) / (ir + 1), 6)))
+    return nn.sparkSession.createDataFrame(out, "a int, b int, value double")
+
+
 def c1(nn: DataFrame, kmax: int = K, by_class: bool = False) -> DataFrame:
     w = Window.partitionBy("i").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
     x = nn.where(F.col("rk") <= kmax).withColumn("s", F.sum((F.col("yi") == F.col("yj")).cast("int")).over(w) / F.col("rk"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from abc import ABC, abstractmethod
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,10 @@ from .distance import Block, block_join, distances, knn, nearest_by_class
 from .numerics import KERNEL_ROWS, SVC, OneClass, gram, svdd
 
 
+#: Small fits that are under way at once.
+FITS = 8
+
+
 def sides(df: DataFrame, compat: bool = False) -> tuple[int, int, int, int]:
     """Majority label, minority label, and their counts."""
     counts = sorted(((r["count"], -r["label"]) for r in df.groupBy("label").count().collect()), reverse=True)
@@ -305,8 +310,12 @@ class SMOTE(Sampler):
         _, lo, a, b = sides(df)
         x, seed = df.where(F.col("label") == lo), self.params["seed"]
         nn = knn(x, self.params["k"]).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("rk", "j"))), lambda s: s["j"]).alias("js"))
-        rows = numbered(x.select("id", "label", "features"), F.col("id")).join(nn.withColumnRenamed("i", "id"), "id")
-        n = b
+        # Rows without a neighbour (a class of one row) are not drawn from; without any, rows are drawn again.
+        rows = numbered(x.select("id", "label", "features").join(nn.withColumnRenamed("i", "id"), "id"), F.col("id"))
+        n = rows.count()
+        if not n:
+            self.stats_ = {"added": a - b, "repeated": a - b}
+            return _out(df).unionByName(random_rows(x, a - b, seed, "base"))
         new = df.sparkSession.range(a - b).select(F.col("id").alias("g")).withColumn("n", F.floor(uniform(seed, "base", "g") * n).cast("long"))
         base = new.join(rows, "n").select("g", "label", F.col("features").alias("fa"), F.get("js", F.floor(uniform(seed, "pick", "g") * F.size("js")).cast("int")).alias("j"))
         pairs = base.join(x.select(F.col("id").alias("j"), F.col("features").alias("fb")), "j")
@@ -500,8 +509,8 @@ class SVDDWSMOTE(Sampler):
         p = self.params
         hi, lo, a, b = sides(df)
         scaled = standard_scaler(df).transform(df)
-        noisy = {r["id"] for r in density_peaks(scaled.where(F.col("label") == lo), rho_threshold=p["rho_threshold"], delta_threshold=p["delta_threshold"]).where("noisy").collect()}
         ids, label, x = _arrays(scaled)
+        noisy = {r["id"] for r in density_peaks(scaled.where(F.col("label") == lo), rho_threshold=p["rho_threshold"], delta_threshold=p["delta_threshold"]).where("noisy").collect()}
         y, im = np.where(label == lo, 1.0, -1.0), a / b
         noise = np.isin(ids, list(noisy))
 
@@ -579,8 +588,9 @@ class DeviOCSVM(Sampler):
 class RFCL(Sampler):
     """Keeps the majority rows whose margin, by votes of a random forest's trees, is above a threshold chosen by cross-validated F1 of the minority."""
 
-    def __init__(self, trees: int = 500, step: float = 0.05, folds: int = 3, seed: int = 42, classifier=None):
-        super().__init__(trees=trees, step=step, folds=folds, seed=seed, classifier=classifier)
+    def __init__(self, trees: int = 500, step: float = 0.05, folds: int = 3, seed: int = 42, classifier=None, score_trees: int = 20, score_depth: int = 5):
+        """Candidate thresholds are scored by `classifier`, by default a forest of score_trees trees of at most score_depth levels."""
+        super().__init__(trees=trees, step=step, folds=folds, seed=seed, classifier=classifier, score_trees=score_trees, score_depth=score_depth)
 
     def _forest(self, x: DataFrame, seed: int):
         from pyspark.ml.classification import RandomForestClassifier
@@ -616,7 +626,7 @@ class RFCL(Sampler):
         p = self.params
         hi, lo, a, b = sides(df, compat=True)
         x = cut(df.select("id", "label", "features").withColumn("label", F.col("label").cast("int")))
-        x = cut(x.withColumn("v", array_to_vector("features")).withColumn("fold", fold_of(x, p["folds"], p["seed"])))
+        x = cut(x.withColumn("v", array_to_vector("features")).join(folds_of(x, p["folds"], p["seed"]), "id"))
         one = cut(self._votes(self._forest(x, p["seed"]), x))
         share = F.col("one") if lo == 1 else 1 - F.col("one")
         m = cut(x.join(one, "id").withColumn("margin", 1 - 2 * share))
@@ -625,13 +635,15 @@ class RFCL(Sampler):
         top = max(r[1], m.where(F.col("label") == lo).agg(F.median("margin")).first()[0]) + 0.05
         cuts = [-1.0] + [round(float(c), 6) for c in np.arange(r[0], top, p["step"])]
         # Candidates with the same kept rows share their fits.
-        best, seen = (-1.0, None), {}
-        for c in cuts:
-            key = major.where(F.col("margin") > c).count()
-            if key not in seen:
-                seen[key] = np.mean([self._f1(m, c, f, hi, lo) for f in range(p["folds"])])
-            if seen[key] > best[0]:
-                best = (seen[key], c)
+        kept = major.agg(*[F.sum((F.col("margin") > c).cast("int")).alias(f"n{i}") for i, c in enumerate(cuts)]).first()
+        of = {kept[i]: c for i, c in reversed(list(enumerate(cuts)))}
+        with ThreadPoolExecutor(FITS) as pool:
+            f1s = {(n, f): pool.submit(self._f1, m, c, f, hi, lo) for n, c in of.items() for f in range(p["folds"])}
+            seen = {n: np.mean([f1s[n, f].result() for f in range(p["folds"])]) for n in of}
+        best = (-1.0, None)
+        for i, c in enumerate(cuts):
+            if seen[kept[i]] > best[0]:
+                best = (seen[kept[i]], c)
         self.threshold_ = best[1] if best[1] is not None else -1.0
         out = m.where((F.col("label") == lo) | (F.col("margin") > self.threshold_))
         self.rf_margin_ = m.select("id", "margin")
@@ -644,7 +656,7 @@ class RFCL(Sampler):
         train = m.where((F.col("fold") != fold) & ((F.col("label") == lo) | (F.col("margin") > cutoff)))
         if train.select("label").distinct().count() < 2:
             return 0.0
-        est = self.params["classifier"] or RandomForestClassifier(featuresCol="v", numTrees=min(20, self.params["trees"]), maxDepth=5, seed=self.params["seed"])
+        est = self.params["classifier"] or RandomForestClassifier(featuresCol="v", numTrees=self.params["score_trees"], maxDepth=self.params["score_depth"], seed=self.params["seed"])
         got = est.copy().fit(train).transform(m.where(F.col("fold") == fold)).agg(
             F.sum(((F.col("label") == lo) & (F.col("prediction") == lo)).cast("int")), F.sum(((F.col("label") != lo) & (F.col("prediction") == lo)).cast("int")), F.sum(((F.col("label") == lo) & (F.col("prediction") != lo)).cast("int"))
         ).first()
@@ -671,9 +683,14 @@ def _tree_arrays(tree) -> tuple[np.ndarray, ...]:
     return np.array(feat), np.array(cutoff, float), np.array(left), np.array(right), np.array(value, float)
 
 
-def fold_of(df: DataFrame, folds: int, seed: int) -> Column:
-    """A fold for each row, by hash."""
-    return F.floor(uniform(seed, "fold", "id") * folds).cast("int")
+def folds_of(df: DataFrame, folds: int, seed: int) -> DataFrame:
+    """(id, fold): rows of each class are dealt to folds in turn, in the order of a hash."""
+    labels, out = sorted(r["label"] for r in df.select("label").distinct().collect()), None
+    for label in labels:
+        rows = numbered(df.where(F.col("label") == label).select("id", uniform(seed, "fold", "id").alias("_u")), F.col("_u"), F.col("id"))
+        rows = rows.select("id", (F.col("n") % folds).cast("int").alias("fold"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 class EHSO(Sampler):
@@ -689,12 +706,16 @@ class EHSO(Sampler):
     def resample(self, df: DataFrame) -> DataFrame:
         p, rng = self.params, np.random.default_rng(self.params["seed"])
         hi, lo, a, b = sides(df)
+        ids, label, x = _arrays(df)
         self.overlapping_indices_ = sorted(r["id"] for r in overlap_region(df, p["k"]).collect())
         over = np.array(self.overlapping_indices_, np.int64)
         if not len(over):
             return RandomOverSampler(seed=p["seed"]).resample(df)
-        ids, label, x = _arrays(df)
-        test = np.array([int.from_bytes(np.int64(i * 2654435761 + p["seed"]).tobytes()[:4], "little") % 10 < 3 for i in ids])
+        # Three tenths of each class are held out.
+        test = np.zeros(len(ids), bool)
+        for c in (lo, hi):
+            of = np.flatnonzero(label == c)
+            test[rng.permutation(of)[: round(0.3 * len(of))]] = True
         order = np.argsort(distances(x[test], x[~test]), axis=1, kind="stable")
         bit = np.full(len(ids), -1)
         bit[np.searchsorted(ids, over)] = np.arange(len(over))
@@ -718,7 +739,7 @@ class EHSO(Sampler):
             perm = rng.permutation(size)
             for i, j in zip(perm[::2], perm[1::2], strict=False):
                 diff = np.flatnonzero(pop[i] != pop[j])
-                if len(diff) / 2 > limit:
+                if len(diff) and len(diff) >= limit:
                     swap = rng.permutation(diff)[: len(diff) // 2]
                     for s, t in ((i, j), (j, i)):
                         child = pop[s].copy()
@@ -731,8 +752,7 @@ class EHSO(Sampler):
                 pop, fit = both[best], score[best]
             else:
                 stale += 1
-            if stale:
-                limit -= 1
+            limit -= 1
             if stale >= 10 or limit <= 0:
                 lead = pop[fit.argmax()].copy()
                 pop = np.where(rng.random((size, n)) < p["mutation"], ~lead, lead)

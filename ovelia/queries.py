@@ -30,6 +30,13 @@ def table_d(spark: SparkSession, sf: str, label: str = "toxic") -> DataFrame:
     return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), F.col("label").cast("int").alias("label"), F.array("a", "b").alias("features"))
 
 
+def table_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of D in three classes, by quality and toxicity: neither, one, both."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("n_chars").cast("double").alias("a"), F.regexp_count("text", F.lit(_WORD)).cast("double").alias("b"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", (F.col("quality") + F.col("toxic")).cast("int").alias("label"))
+    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "label", F.array("a", "b").alias("features"))
+
+
 def table_l(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers of lineitem; (l_orderkey, l_linenumber) is no key, so only order-free measures use it."""
     x = spark.read.parquet(f"{sf}/lineitem.parquet")
@@ -51,7 +58,12 @@ def _near(spark, sf):
 
 
 def _on(f, table=table_d):
-    """A query of a function of a table."""
+    """A query of a function of a table that passes over it a fixed number of times: its scans are pruned to what each needs."""
+    return lambda s, d: f(table(s, d))
+
+
+def _held(f, table=table_d):
+    """A query of a function that rereads its table, in a loop or in blocks: the table is made once, in the checkpoint folder."""
     return lambda s, d: f(cut(table(s, d)))
 
 
@@ -63,6 +75,10 @@ def _features(x: DataFrame, *names: str) -> DataFrame:
     return x.select(*names, F.round(F.col("features")[0], 6).alias("f0"), F.round(F.col("features")[1], 6).alias("f1"))
 
 
+def _wide(x: DataFrame, d: int = 10) -> DataFrame:
+    return x.select("id", "label", *[F.round(F.col("features")[k], 6).alias(f"f{k}") for k in range(d)])
+
+
 def _radius_stats(x: DataFrame) -> DataFrame:
     d = lb.width(x)
     return x.agg(*[F.round(f(F.col("features")[k]), 6).alias(f"{n}{k}") for k in range(d) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
@@ -103,8 +119,18 @@ def _analysis(x: DataFrame) -> DataFrame:
     return x.sparkSession.createDataFrame([(float(a["n3"]["overall"]), float(a["t1"]["normalized"]), float(a["n1"]), a["interpretation"]["overall"], a["interpretation"]["recommendations"])], "n3 double, t1 double, n1 double, overall string, recommendations array<string>")
 
 
+def techniques() -> dict[str, sm.Sampler]:
+    """All techniques with their defaults, but for the four that have over thirty seconds of rounds on a few hundred rows."""
+    return {
+        "ROS": sm.RandomOverSampler(), "RUS": sm.RandomUnderSampler(), "NUS": sm.NUS(), "URNS": sm.URNS(),
+        "NB-Basic": sm.NBUS("basic"), "NB-Tomek": sm.NBUS("tomek"), "NB-Comm": sm.NBUS("common"), "NB-Rec": sm.NBUS("recursive"),
+        "SMOTE": sm.SMOTE(), "BLSMOTE1": sm.BorderlineSMOTE(), "HKM": sm.KMeansUndersampling("HKM"), "RKM": sm.KMeansUndersampling("RKM"),
+        "ODBOT": sm.ODBOT(), "EHSO": sm.EHSO(), "DeviOCSVM": sm.DeviOCSVM(), "SVDDWSMOTE": sm.SVDDWSMOTE(), "OSM": sm.OSM(),
+    }
+
+
 def _compared(x: DataFrame) -> DataFrame:
-    return ev.ModelEvaluator().compare(x, {"ROS": sm.RandomOverSampler(), "RUS": sm.RandomUnderSampler(), "NB-Comm": sm.NBUS("common")}, "knn")
+    return ev.ModelEvaluator().compare(x, techniques(), "knn")
 
 
 def _best(s: SparkSession, d: str) -> DataFrame:
@@ -135,16 +161,17 @@ QUERIES = {
     "minmax_scale": _on(lambda x: _features(lb.minmax_scaler(x).transform(x), "id")),
     "iqr_filter": _on(lambda x: sm.iqr_filter(x).select("id")),
     "iqr_filter_lineitem": _on(lambda x: sm.iqr_filter(x).groupBy("label").agg(F.count(F.lit(1)).alias("n")), table_l),
-    "synthetic": lambda s, d: lb.class_distribution(lb.synthetic(s)),
-    "fraud_like": lambda s, d: lb.class_distribution(lb.fraud_like(s)),
+    "synthetic": lambda s, d: _wide(lb.synthetic(s)),
+    "fraud_like": lambda s, d: _wide(lb.fraud_like(s)),
     "stratified_subset": _on(lambda x: lb.stratified_subset(x, 20).select("id", "label")),
     # feature measures
     "f1_fisher": _on(m.f1, table_l),
-    "f1v": _on(m.f1v, table_l),
+    "f1v": _on(lambda x: m.f1v(x.withColumn("features", F.slice("features", 1, 2))), table_l),
+    "f1v_lineitem": _on(m.f1v, table_l),
     "f2_volume": _on(m.f2, table_l),
     "f3_efficiency": _on(m.f3, table_l),
     "f3_documents": _on(m.f3),
-    "f4": _on(m.f4, table_l),
+    "f4": _held(m.f4, table_l),
     "input_noise": _on(m.input_noise, table_l),
     "class_moments": _on(lambda x: _moments(x), table_l),
     # neighbours
@@ -162,38 +189,48 @@ QUERIES = {
     "borderline_tags": lambda s, d: m.borderline_tags(_nn(s, d)),
     "c1": lambda s, d: m.c1(_nn(s, d)),
     "c2": lambda s, d: m.c2(_nn(s, d)),
+    **{f"{n}_by_class": lambda s, d, f=f: f(_nn(s, d), by_class=True) for n, f in (("kdn", m.kdn), ("cm", m.cm), ("deg_overlap", m.deg_overlap), ("c1", m.c1), ("c2", m.c2))},
+    "si_by_class": lambda s, d: m.si(_nn(s, d, 1), 1, True),
+    "n2_by_class": lambda s, d: m.n2(_near(s, d), True),
+    "lsc_by_class": _held(lambda x: m.lsc(x, cut(m.enemies(x)), ranges(x), True)),
+    "borderline_by_class": lambda s, d: m.borderline(_nn(s, d), True),
+    "r_value_by_class": lambda s, d: m.r_by_class(_nn(s, d)),
+    "r_value_of_pairs": _held(lambda x: m.r_pairs(m.neighbours(x)), table_q),
+    "f2_by_class": _on(lambda x: m.f2(x, True), table_l),
+    "f3_by_class": _on(lambda x: m.f3(x, True), table_l),
+    "input_noise_by_class": _on(lambda x: m.input_noise(x, True), table_l),
     "instance_hardness": lambda s, d: m.instance_hardness(_nn(s, d, 1)),
     "r_value": lambda s, d: (lambda x: m.r_value(m.neighbours(x), {r["label"]: r["count"] for r in x.groupBy("label").count().collect()}))(cut(table_d(s, d))),
     "nearest_enemy": lambda s, d: _near(s, d).select(F.col("i").alias("id"), F.col("other_j").alias("enemy"), F.round("other_dist", 6).alias("dist")),
     "n2": lambda s, d: m.n2(_near(s, d)),
-    "lsc": _on(lambda x: m.lsc(x, cut(m.enemies(x)), ranges(x))),
-    "hypersphere_profile": _on(lambda x: m.hypersphere_profile(x, ranges(x))),
+    "lsc": _held(lambda x: m.lsc(x, cut(m.enemies(x)), ranges(x))),
+    "hypersphere_profile": _held(lambda x: m.hypersphere_profile(x, ranges(x))),
     "n4": _n4,
     # structure
-    "n1_mst": _on(st.n1),
-    "t1": _on(st.t1),
-    "clust": _on(st.clust),
-    "onb": _on(st.onb),
-    "dbc": _on(st.dbc),
-    "nsg": _on(st.nsg),
-    "icsv": _on(st.icsv),
-    "mrca": _on(st.mrca),
-    "purity": _on(st.purity_curve),
-    "purity_index": _on(st.purity),
-    "neigh_sep": _on(st.neighbourhood_separability),
-    "svm_reduction": _on(_svm),
-    "tree_depth": _on(_depth),
-    "analyze_overlap": _on(_analysis),
-    "compare_pre_post": _on(lambda x: ov.compare_pre_post(x, sm.NBUS("basic").resample(x), ("n3", "n2", "si"))),
-    "overlap_picture": _on(ov.overlap_picture, table_e),
-    "hardness_picture": _on(lambda x: ov.ComplexityMeasures(x).hardness_picture(), table_e),
-    "measure_table": _on(lambda x: ov.ComplexityMeasures(x).table(("feature", "instance"))),
-    "resampling_table": _on(lambda x: ov.resampling_table(x, {"ros": sm.RandomOverSampler().resample(x), "rus": sm.RandomUnderSampler().resample(x)})),
+    "n1_mst": _held(st.n1),
+    "t1": _held(st.t1),
+    "clust": _held(st.clust),
+    "onb": _held(st.onb),
+    "dbc": _held(st.dbc),
+    "nsg": _held(st.nsg),
+    "icsv": _held(st.icsv),
+    "mrca": _held(st.mrca),
+    "purity": _held(st.purity_curve),
+    "purity_index": _held(st.purity),
+    "neigh_sep": _held(st.neighbourhood_separability),
+    "svm_reduction": _held(_svm),
+    "tree_depth": _held(_depth),
+    "analyze_overlap": _held(_analysis),
+    "compare_pre_post": _held(lambda x: ov.compare_pre_post(x, sm.NBUS("basic").resample(x))),
+    "overlap_picture": _held(ov.overlap_picture, table_e),
+    "hardness_picture": _held(lambda x: ov.ComplexityMeasures(x).hardness_picture(), table_e),
+    "measure_table": _held(lambda x: ov.ComplexityMeasures(x).table()),
+    "resampling_table": _held(lambda x: ov.resampling_table(x, {n: t.resample(x) for n, t in techniques().items()})),
     # overlap regions
-    "tomek_links": _on(sm.tomek_links),
-    "tomek_like_pairs": _on(sm.tomek_like_pairs),
-    "overlap_region": _on(sm.overlap_region),
-    "density_peaks": _on(lambda x: sm.density_peaks(x.where("label = 1"))),
+    "tomek_links": _held(sm.tomek_links),
+    "tomek_like_pairs": _held(sm.tomek_like_pairs),
+    "overlap_region": _held(sm.overlap_region),
+    "density_peaks": _held(lambda x: sm.density_peaks(x.where("label = 1"))),
     # resamplers
     "ros": _sampled(sm.RandomOverSampler),
     "rus": _sampled(sm.RandomUnderSampler),
@@ -209,27 +246,27 @@ QUERIES = {
     "fcm_step": _step(lambda x: sm.fuzzy_step(x, CENTRES)),
     "rkm_step": _step(lambda x: sm.rough_step(x, CENTRES, 0.95, 200.0)),
     "frkm_step": _step(lambda x: sm.rough_step(x, CENTRES, 0.95, 200.0, 2.0)),
-    "hkm": _sampled(lambda: sm.KMeansUndersampling("HKM", max_iter=20)),
-    "fcm": _sampled(lambda: sm.KMeansUndersampling("FCM", max_iter=20)),
-    "rkm": _sampled(lambda: sm.KMeansUndersampling("RKM", max_iter=20)),
-    "frkm": _sampled(lambda: sm.KMeansUndersampling("FRKM", max_iter=20)),
+    "hkm": _sampled(lambda: sm.KMeansUndersampling("HKM")),
+    "fcm": _sampled(lambda: sm.KMeansUndersampling("FCM")),
+    "rkm": _sampled(lambda: sm.KMeansUndersampling("RKM")),
+    "frkm": _sampled(lambda: sm.KMeansUndersampling("FRKM")),
     "odbot": _sampled(sm.ODBOT),
-    "fcm_boost": _sampled(lambda: sm.FCMBoostOBU(max_iter=20)),
-    "rfcl": _sampled(lambda: sm.RFCL(trees=50, step=0.25)),
-    "ehso": _sampled(lambda: sm.EHSO(generations=10)),
+    "fcm_boost": _sampled(sm.FCMBoostOBU),
+    "rfcl": _sampled(sm.RFCL),
+    "ehso": _sampled(sm.EHSO),
     "devi_ocsvm": _sampled(sm.DeviOCSVM),
-    "svddwsmote": _sampled(lambda: sm.SVDDWSMOTE(n_c1=3, n_sigma=3)),
+    "svddwsmote": _sampled(sm.SVDDWSMOTE),
     "osm": _sampled(sm.OSM),
     # evaluation
     "stratified_split": _on(lambda x: ev.stratified_split(x).select("id", "label", "is_test")),
     "kfold": _on(lambda x: ev.kfold(x).select("id", "label", "fold")),
     "metrics_from_predictions": _on(lambda x: ev.metrics(_predictions(x), 6)),
     "confusion_matrix": _on(lambda x: ev.confusion(_predictions(x))),
-    "knn_classify": _on(lambda x: (lambda y: ev.knn_predict(y.where("not is_test"), y.where("is_test")))(cut(ev.stratified_split(x)))),
-    "technique_compare": _on(_compared),
-    "cross_validate": _on(_cv),
+    "knn_classify": _held(lambda x: (lambda y: ev.knn_predict(y.where("not is_test"), y.where("is_test")))(cut(ev.stratified_split(x)))),
+    "technique_compare": _held(_compared),
+    "cross_validate": _held(_cv),
     "pipeline_best": _best,
-    **{f"classify_{c}": _on(lambda x, c=c: (lambda y: ev.metrics(ev.fit_predict(y.where("not is_test"), y.where("is_test"), c)))(cut(ev.stratified_split(x)))) for c in ("decision_tree", "random_forest", "logistic_regression", "naive_bayes", "svm")},
+    **{f"classify_{c}": _held(lambda x, c=c: (lambda y: ev.metrics(ev.fit_predict(y.where("not is_test"), y.where("is_test"), c)))(cut(ev.stratified_split(x)))) for c in ("decision_tree", "random_forest", "logistic_regression", "naive_bayes", "svm")},
 }
 
 
@@ -294,6 +331,23 @@ _METRIC = f"""WITH {_D}, S AS (SELECT label, round({uniform_sql(3, 'score', 'id'
  Y AS (SELECT label, score, (score > 0.5)::INT AS prediction FROM S)"""
 _C = ", C AS (SELECT sum((label = 1 AND prediction = 1)::INT) AS tp, sum((label = 0 AND prediction = 1)::INT) AS fp, sum((label = 0 AND prediction = 0)::INT) AS tn, sum((label = 1 AND prediction = 0)::INT) AS fn FROM Y)"
 
+def _normal_sql(seed: int, salt: str, row: str) -> str:
+    a, b = uniform_sql(seed, f"{salt}a", row), uniform_sql(seed, f"{salt}b", row)
+    return f"(sqrt(-2 * ln(greatest({a}, 1e-300))) * cos(2 * 3.141592653589793 * {b}))"
+
+
+def _generated_sql(name: str) -> str:
+    if name == "fraud_like":
+        cells = [f"round({_normal_sql(42, f'v{k}', 'id')} * CASE WHEN label = 1 THEN 1.5 ELSE 1 END + label * 0.5, 6) AS f{k}" for k in range(10)]
+        return f"SELECT id, label, {', '.join(cells)} FROM (SELECT id, (id >= 500)::INT AS label FROM range(550) AS t(id))"
+    cells = []
+    for k in range(10):
+        centre = f"(t * 2 - 1) * {1.0 if k % 2 == 0 else 0.5} + (s * 2 - 1) * {0.8 if k % 2 else -0.3}" if k < 8 else "0"
+        cells.append(f"round({_normal_sql(42, f'x{k}', 'id')} + ({centre}), 6) AS f{k}")
+    label = f"CASE WHEN {uniform_sql(42, 'flip', 'id')} < 0.3 THEN ({uniform_sql(42, 'new', 'id')} < 83 / 500)::INT ELSE t END"
+    return f"SELECT id, {label} AS label, {', '.join(cells)} FROM (SELECT id, (id < 83)::INT AS t, (id % 2)::INT AS s FROM range(500) AS t(id))"
+
+
 SQL = {
     "class_distribution": f"WITH {_D}, C AS (SELECT label, count(*) AS n FROM D GROUP BY label) SELECT label, n, round(n / (SELECT sum(n) FROM C), 6) AS share, (SELECT sum(n) FROM C)::BIGINT AS n_samples, (SELECT count(*) FROM C) AS n_classes, round((SELECT max(n) / min(n) FROM C), 6) AS imbalance_ratio, (SELECT label FROM C ORDER BY n DESC, label LIMIT 1) AS majority, (SELECT label FROM C ORDER BY n, label DESC LIMIT 1) AS minority FROM C",
     "label_orient": f"WITH {_D} SELECT id, label FROM D",
@@ -325,6 +379,23 @@ SQL = {
     "r_value": _OWN + ", W AS (SELECT yi, avg((k - own > 2)::INT) AS r, count(*) AS n FROM O GROUP BY yi) SELECT round((a.r + (a.n / b.n) * b.r) / (a.n / b.n + 1), 6) AS value FROM W a, W b WHERE a.n > b.n",
     "c1": f"WITH {_K}, S AS (SELECT i, sum((yi = yj)::INT) OVER (PARTITION BY i ORDER BY rk) / rk AS s FROM K WHERE rk <= 5) SELECT round(avg(v), 6) AS value FROM (SELECT i, 1 - avg(s) AS v FROM S GROUP BY i)",
     "c2": f"WITH {_K}, S AS (SELECT i, sum(CASE WHEN yi = yj THEN 1 - least(dist, 1) ELSE 0 END) OVER (PARTITION BY i ORDER BY rk) / rk AS s FROM K WHERE rk <= 5) SELECT round(avg(v), 6) AS value FROM (SELECT i, 1 - avg(s) AS v FROM S GROUP BY i)",
+    "kdn_by_class": _OWN + "SELECT yi AS label, round(avg(1 - own / k), 6) AS value FROM O GROUP BY yi",
+    "cm_by_class": _OWN + "SELECT yi AS label, round(avg((1 - own / k > 0.5)::INT), 6) AS value FROM O GROUP BY yi",
+    "deg_overlap_by_class": _OWN + "SELECT yi AS label, round(avg((own < k)::INT), 6) AS value FROM O GROUP BY yi",
+    "si_by_class": _V + "SELECT yi AS label, round(avg(own), 6) AS value FROM V GROUP BY yi",
+    "c1_by_class": f"WITH {_K}, S AS (SELECT i, yi, sum((yi = yj)::INT) OVER (PARTITION BY i ORDER BY rk) / rk AS s FROM K WHERE rk <= 5) SELECT yi AS label, round(avg(v), 6) AS value FROM (SELECT i, yi, 1 - avg(s) AS v FROM S GROUP BY ALL) GROUP BY yi",
+    "c2_by_class": f"WITH {_K}, S AS (SELECT i, yi, sum(CASE WHEN yi = yj THEN 1 - least(dist, 1) ELSE 0 END) OVER (PARTITION BY i ORDER BY rk) / rk AS s FROM K WHERE rk <= 5) SELECT yi AS label, round(avg(v), 6) AS value FROM (SELECT i, yi, 1 - avg(s) AS v FROM S GROUP BY ALL) GROUP BY yi",
+    "n2_by_class": _ENEMY + ", T AS (SELECT yi, sum(s) / sum(o) AS r FROM N GROUP BY yi) SELECT yi AS label, round(r / (1 + r), 6) AS value FROM T",
+    "lsc_by_class": _ENEMY + ", Z AS (SELECT N.i, N.yi, (N.o > 0)::INT + coalesce(sum((P.yi = P.yj AND dist < o)::INT), 0) AS size FROM N JOIN P USING (i) GROUP BY N.i, N.yi, N.o) SELECT yi AS label, round(1 - sum(size) / (count(*) * count(*)), 6) AS value FROM Z GROUP BY yi",
+    "borderline_by_class": _OWN + "SELECT yi AS label, round(avg((k - own <= 1)::INT), 6) AS safe, round(avg((k - own BETWEEN 2 AND 3)::INT), 6) AS borderline, round(avg((k - own = 4)::INT), 6) AS rare, round(avg((k - own = 5)::INT), 6) AS outlier FROM O GROUP BY yi",
+    "r_value_by_class": _OWN + "SELECT yi AS label, round(avg((k - own > 2)::INT), 6) AS value FROM O GROUP BY yi",
+    "r_value_of_pairs": "WITH " + _K.replace("l.toxic::INT", "(l.quality + l.toxic)::INT") + ", O AS (SELECT i, yi, c.label AS other, sum((yj = c.label)::INT) AS n FROM K, (SELECT DISTINCT label FROM D) c WHERE rk <= 5 GROUP BY ALL), S AS (SELECT yi, other, avg((n > 2)::INT) AS r, count(*) AS m FROM O GROUP BY ALL) SELECT a.yi AS a, a.other AS b, round(CASE WHEN a.m > b.m THEN (a.r + (a.m / b.m) * b.r) / (a.m / b.m + 1) ELSE (b.r + (b.m / a.m) * a.r) / (b.m / a.m + 1) END, 6) AS value FROM S a JOIN S b ON a.yi = b.other AND a.other = b.yi WHERE a.yi < a.other",
+    "f2_by_class": _LB + ", W AS (SELECT label, " + ", ".join(f"max({f}) - min({f}) AS s{k}" for k, f in enumerate(_F)) + " FROM L GROUP BY label) SELECT 0::INT AS a, 1::INT AS b, label, round(" + " * ".join(f"coalesce(greatest(0, hi{k} - lo{k}) / nullif(s{k}, 0), 0)" for k in range(4)) + ", 6) AS value FROM W, B",
+    "f3_by_class": _LB + "SELECT 0::INT AS a, 1::INT AS b, label, round(least(" + ", ".join(f"sum(({f} BETWEEN lo{k} AND hi{k})::INT)" for k, f in enumerate(_F)) + ") / count(*), 6) AS value FROM L, B GROUP BY label",
+    "input_noise_by_class": f"WITH {_L}, M AS (SELECT label, {', '.join(f'min({f}) AS lo{k}, max({f}) AS hi{k}' for k, f in enumerate(_F))} FROM L GROUP BY label) SELECT L.label, round(sum({' + '.join(f'({f} > lo{k} AND {f} < hi{k})::INT' for k, f in enumerate(_F))}) / (count(*) * 4), 6) AS value FROM L JOIN M ON L.label <> M.label GROUP BY L.label",
+    "f1v": f"WITH {_L}, M AS (SELECT label, count(*) AS n, {', '.join(f'avg({f}) AS m{k}' for k, f in enumerate(_F[:2]))}, {', '.join(f'covar_samp({_F[a]}, {_F[b]}) AS c{a}{b}' for a in range(2) for b in range(a, 2))} FROM L GROUP BY label), W AS (SELECT p.m0 - q.m0 AS d0, p.m1 - q.m1 AS d1, " + ", ".join(f"(p.n * p.c{x} + q.n * q.c{x}) / (p.n + q.n) AS w{x}" for x in ("00", "01", "11")) + " FROM M p, M q WHERE p.label = 0 AND q.label = 1), T AS (SELECT (d0 * d0 * w11 - 2 * d0 * d1 * w01 + d1 * d1 * w00) / (w00 * w11 - w01 * w01) AS r FROM W) SELECT 0::INT AS a, 1::INT AS b, round(1 / (1 + r), 6) AS value FROM T",
+    "synthetic": _generated_sql("synthetic"),
+    "fraud_like": _generated_sql("fraud_like"),
     "nearest_enemy": f"WITH {_P}, N AS (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk FROM P WHERE yi <> yj) SELECT i AS id, j AS enemy, round(dist, 6) AS dist FROM N WHERE rk = 1",
     "n2": _ENEMY + ", T AS (SELECT sum(s) / sum(o) AS r FROM N) SELECT round(r / (1 + r), 6) AS value FROM T",
     "lsc": _ENEMY + "SELECT round(1 - ((SELECT count(*) FROM N WHERE o > 0) + (SELECT count(*) FROM P JOIN N USING (i) WHERE P.yi = P.yj AND dist < o)) / ((SELECT count(*) FROM D) ^ 2), 6) AS value",
