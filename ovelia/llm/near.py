@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     looked at. Recall: a pair at the threshold shares no band with probability (1 - 0.8**4)**24 = 3e-6, and is pruned
     with at most the tolerance.
     """
-    return _classes(docs, doc_id, text, words, threshold, block).drop("mark")
+    return _classes(docs, doc_id, text, words, threshold, block).drop("mark", "first")
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
