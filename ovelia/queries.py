@@ -137,8 +137,8 @@ def _best(s: SparkSession, d: str) -> DataFrame:
     p = ImbalancedPipeline(s)
     x = cut(table_d(s, d))
     p.data = lb.standard_scaler(x).transform(x)
-    p.apply_resampling_techniques({"ROS": sm.RandomOverSampler(), "RUS": sm.RandomUnderSampler()})
-    p.evaluate_techniques("decision_tree")
+    p.apply_resampling_techniques()
+    p.evaluate_techniques()
     return s.createDataFrame([(p.get_best_technique(),)], "technique string")
 
 

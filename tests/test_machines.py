@@ -45,3 +45,24 @@ def test_svdd_is_feasible():
 def test_too_many_rows():
     with pytest.raises(ValueError):
         SVC().fit(np.zeros((6001, 1)), np.zeros(6001))
+
+
+def test_smote_of_one_minority_row(spark):
+    from pyspark.sql import functions as F
+
+    from ovelia.operators import samplers as sm
+
+    x = spark.range(12).select("id", (F.col("id") == 0).cast("int").alias("label"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features"))
+    s = sm.SMOTE()
+    got = s.resample(x).where("label = 1").collect()
+    assert len(got) == 11 and s.stats_["added"] == s.stats_["repeated"] == 10 and all(r["features"] == [0.0, 1.0] for r in got)
+
+
+def test_folds_are_stratified(spark):
+    from pyspark.sql import functions as F
+
+    from ovelia.operators import samplers as sm
+
+    x = spark.range(40).select("id", (F.col("id") < 6).cast("int").alias("label"))
+    got = {(r["label"], r["fold"]): r["count"] for r in x.join(sm.folds_of(x, 3, 1), "id").groupBy("label", "fold").count().collect()}
+    assert {f: got[1, f] for f in range(3)} == {0: 2, 1: 2, 2: 2} and sorted(got[0, f] for f in range(3)) == [11, 11, 12]
