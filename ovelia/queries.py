@@ -6,6 +6,8 @@ E is embeddings (label 5 or not).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +146,7 @@ def _best(s: SparkSession, d: str) -> DataFrame:
 
 def _cv(x: DataFrame) -> DataFrame:
     r = ev.ModelEvaluator().cross_validate(x, sm.RandomUnderSampler(), "knn")
-    return x.sparkSession.createDataFrame([(r["mean"], r["std"])], "mean double, std double")
+    return x.sparkSession.createDataFrame([(round(r["mean"], 6), round(r["std"], 6))], "mean double, std double")
 
 
 def _n4(s, d):
@@ -424,3 +426,133 @@ SQL = {
     "metrics_from_predictions": _METRIC + _C + ", A AS (SELECT sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) AS auc FROM Y a JOIN Y b ON a.label = 1 AND b.label = 0) SELECT round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tn / (tn + fp), 6) AS specificity, round(sqrt((tp / (tp + fn)) * (tn / (tn + fp))), 6) AS g_mean, round(auc, 6) AS auc_roc FROM C, A",
     "purity": f"WITH {_D}, G AS (SELECT unnest(range(32)) AS res), B AS (SELECT min(f0) AS a0, max(f0) AS b0, min(f1) AS a1, max(f1) AS b1 FROM D), X AS (SELECT res, label, greatest(0, ceil(round((f0 - a0) / ((b0 - a0) / (res + 1)), 9)) - 1)::BIGINT AS c0, greatest(0, ceil(round((f1 - a1) / ((b1 - a1) / (res + 1)), 9)) - 1)::BIGINT AS c1 FROM D, G, B), C AS (SELECT res, c0, c1, label, count(*) AS c FROM X GROUP BY ALL), S AS (SELECT res, c0, c1, sum(c) AS n, sum(c * c) AS q FROM C GROUP BY ALL) SELECT res::INT AS res, round(sum(sqrt(greatest(0, 2 * (q / (n * n) - 0.5))) * n) / sum(n), 6) AS purity FROM S GROUP BY res",
 }
+
+
+# --- SQL of loops ---------------------------------------------------------------------------------------------------
+
+
+def _least_of(names: list[str], free: list[str]) -> str:
+    """The first name whose value is least among those still free."""
+    out = "-1"
+    for k in reversed(range(len(names))):
+        ahead = " AND ".join([free[k], *[f"(NOT {free[j]} OR {names[k]} {'<=' if j > k else '<'} {names[j]})" for j in range(len(names)) if j != k]])
+        out = f"CASE WHEN {ahead} THEN {k} ELSE {out} END"
+    return out
+
+
+def _f4_sql() -> str:
+    """Four rounds: the free feature with the fewest rows in the overlap is taken, and rows outside its overlap go."""
+    parts, used = [_L, "R0 AS (SELECT * FROM L)"], []
+    for s in range(4):
+        ends = ", ".join(f"CASE WHEN count(DISTINCT label) = 2 THEN greatest(min({f}) FILTER (label = 0), min({f}) FILTER (label = 1)) END AS lo{k}, least(max({f}) FILTER (label = 0), max({f}) FILTER (label = 1)) AS hi{k}" for k, f in enumerate(_F))
+        parts.append(f"B{s} AS (SELECT {ends} FROM R{s})")
+        parts.append(f"C{s} AS (SELECT {', '.join(f'coalesce(sum(({f} BETWEEN lo{k} AND hi{k})::INT), 0) AS c{k}' for k, f in enumerate(_F))} FROM R{s}, B{s})")
+        free = [" AND ".join(["TRUE", *[f"(SELECT p FROM P{t}) <> {k}" for t in used]]) for k in range(4)]
+        parts.append(f"P{s} AS (SELECT {_least_of([f'c{k}' for k in range(4)], [f'({f})' for f in free])} AS p FROM C{s})")
+        keep = " ".join(f"WHEN {k} THEN {f} BETWEEN lo{k} AND hi{k}" for k, f in enumerate(_F))
+        parts.append(f"R{s + 1} AS MATERIALIZED (SELECT label, {', '.join(_F)} FROM R{s}, B{s}, P{s} WHERE CASE p {keep} END)")
+        used.append(s)
+    return f"WITH {', '.join(parts)} SELECT 0::INT AS a, 1::INT AS b, round((SELECT count(*) FROM R4) / (SELECT count(*) FROM L), 6) AS value"
+
+
+def _f1v_sql() -> str:
+    """delta' W^-1 delta by elimination, a feature at a time."""
+    pairs = [(a, b) for a in range(4) for b in range(a, 4)]
+    moments = ", ".join([f"avg({f}) AS m{k}" for k, f in enumerate(_F)] + [f"covar_samp({_F[a]}, {_F[b]}) AS c{a}{b}" for a, b in pairs])
+    parts = [_L, f"M AS (SELECT label, count(*) AS n, {moments} FROM L GROUP BY label)"]
+    start = ", ".join([f"p.m{k} - q.m{k} AS d{k}" for k in range(4)] + [f"(p.n * p.c{a}{b} + q.n * q.c{a}{b}) / (p.n + q.n) AS w{a}{b}" for a, b in pairs])
+    parts.append(f"S0 AS (SELECT 0.0::DOUBLE AS s, {start} FROM M p, M q WHERE p.label = 0 AND q.label = 1)")
+    for k in range(4):
+        rest = [f"d{i} - w{k}{i} * d{k} / w{k}{k} AS d{i}" for i in range(k + 1, 4)] + [f"w{a}{b} - w{k}{a} * w{k}{b} / w{k}{k} AS w{a}{b}" for a, b in pairs if a > k]
+        parts.append(f"S{k + 1} AS (SELECT {', '.join([f's + d{k} * d{k} / w{k}{k} AS s', *rest])} FROM S{k})")
+    return f"WITH {', '.join(parts)} SELECT 0::INT AS a, 1::INT AS b, round(1 / (1 + s), 6) AS value FROM S4"
+
+
+def _by_label(salt: str, row: str) -> str:
+    return f"CASE label WHEN 0 THEN {uniform_sql(7, f'{salt}0', row)} ELSE {uniform_sql(7, f'{salt}1', row)} END"
+
+
+_N4 = f"""WITH {_D}, {_R}, N AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS n, count(*) OVER (PARTITION BY label) AS m FROM D),
+ G AS (SELECT label, n AS g, floor({_by_label('a', 'n')} * m)::BIGINT AS pa, floor({_by_label('b', 'n')} * m)::BIGINT AS pb, {_by_label('t0_', 'n')} AS t0, {_by_label('t1_', 'n')} AS t1 FROM N),
+ I AS (SELECT G.label, g, x.f0 + (y.f0 - x.f0) * t0 AS f0, x.f1 + (y.f1 - x.f1) * t1 AS f1 FROM G JOIN N x ON x.label = G.label AND x.n = pa JOIN N y ON y.label = G.label AND y.n = pb),
+ K AS (SELECT a.label AS yi, b.label AS yj, row_number() OVER (PARTITION BY a.label, a.g ORDER BY {_HEOM}, b.id) AS rk FROM I a, D b, R)
+ SELECT round(avg((yi <> yj)::INT), 6) AS value FROM K WHERE rk = 1"""
+
+_CELLS = f"""{_D}, G AS (SELECT unnest(range(32)) AS res), B AS (SELECT min(f0) AS a0, max(f0) AS b0, min(f1) AS a1, max(f1) AS b1 FROM D),
+ X AS (SELECT id, label, f0, f1, res, greatest(0, ceil(round((f0 - a0) / ((b0 - a0) / (res + 1)), 9)) - 1)::BIGINT AS c0, greatest(0, ceil(round((f1 - a1) / ((b1 - a1) / (res + 1)), 9)) - 1)::BIGINT AS c1 FROM D, G, B)"""
+_SEPARABLE = f"""WITH {_CELLS}, {_R}, T AS (SELECT a.id, a.label, a.res, (a.label = b.label)::INT AS same, row_number() OVER (PARTITION BY a.id, a.res ORDER BY {_HEOM}, b.id) AS k
+  FROM X a JOIN X b ON a.res = b.res AND a.c0 = b.c0 AND a.c1 = b.c1 AND a.id <> b.id, R QUALIFY k <= 11),
+ S AS (SELECT id, res, k, sum(same) OVER (PARTITION BY id, res ORDER BY k) / k AS p FROM T),
+ M AS (SELECT id, res, least(count(*) OVER (PARTITION BY res, c0, c1, label) - 1, 11) AS m, count(*) OVER (PARTITION BY res, c0, c1) AS whole FROM X),
+ A AS (SELECT S.id, S.res, k, p, (p + lag(p) OVER (PARTITION BY S.id, S.res ORDER BY k)) / 2 AS area FROM S JOIN M ON M.id = S.id AND M.res = S.res AND k <= m),
+ V AS (SELECT M.id, M.res, CASE WHEN m = 0 AND whole > 1 THEN 0 WHEN m = 0 THEN 1 WHEN m = 1 THEN min(p) ELSE sum(area) / m END AS v FROM M LEFT JOIN A ON A.id = M.id AND A.res = M.res GROUP BY M.id, M.res, m, whole),
+ W AS (SELECT res, avg(v) / (2 ^ res) AS w FROM V GROUP BY res) SELECT round(sum((a.w + b.w) / 2) / 31, 6) AS value FROM W a JOIN W b ON b.res = a.res + 1"""
+
+_PEAKS = f"""WITH {_D}, X AS (SELECT * FROM D WHERE label = 1), P AS (SELECT a.id AS i, b.id AS j, {_EUCLID} AS dist FROM X a, X b),
+ K AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk FROM P WHERE i <> j),
+ C AS (SELECT coalesce(nullif(avg(dist), 0), 1) AS dc FROM K WHERE rk = greatest(1, floor(0.02 * (SELECT count(*) FROM X)))),
+ H AS (SELECT i, round(sum(exp(-(dist / dc) * (dist / dc))), 9) AS rho FROM P, C GROUP BY i),
+ Z AS (SELECT P.i, a.rho, coalesce(min(CASE WHEN b.rho > a.rho OR (b.rho = a.rho AND P.j < P.i) THEN dist END), max(dist)) AS delta FROM P JOIN H a ON a.i = P.i JOIN H b ON b.i = P.j GROUP BY P.i, a.rho),
+ E AS (SELECT min(rho) AS r0, max(rho) AS r1, min(delta) AS e0, max(delta) AS e1 FROM Z)
+ SELECT i AS id, round(rho, 6) AS rho, round(delta, 6) AS delta, coalesce((rho - r0) / nullif(r1 - r0, 0), 0) <= 0.045 AND coalesce((delta - e0) / nullif(e1 - e0, 0), 0) >= 0.25 AS noisy FROM Z, E"""
+
+_FOLDS = (
+    _rank("fold")
+    + f""", Z AS (SELECT D.*, N.n % 5 AS fold FROM D JOIN N USING (id)), V AS (SELECT unnest(range(5)) AS v),
+ T AS (SELECT v, Z.*, row_number() OVER (PARTITION BY v, label ORDER BY {uniform_sql(42, 'rus', 'id')}, id) AS r, sum((label = 1)::INT) OVER (PARTITION BY v) AS few FROM Z, V WHERE fold <> v),
+ P AS (SELECT a.fold, a.id AS i, a.label AS yi, b.id AS j, b.label AS yj, {_EUCLID} AS dist FROM Z a JOIN T b ON a.fold = b.v AND (b.label = 1 OR b.r <= b.few)),
+ K AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rk FROM P),
+ S AS (SELECT fold, i, yi, (avg(yj) > 0.5)::INT AS y FROM K WHERE rk <= 5 GROUP BY ALL),
+ Q AS (SELECT fold, sqrt(coalesce(sum(y) FILTER (yi = 1) / nullif(sum((yi = 1)::INT), 0), 0) * coalesce(sum(1 - y) FILTER (yi = 0) / nullif(sum((yi = 0)::INT), 0), 0)) AS g FROM S GROUP BY fold)
+ SELECT round(avg(round(g, 9)), 6) AS mean, round(stddev_pop(round(g, 9)), 6) AS std FROM Q"""
+)
+
+_RECURSIVE = _ENEMY.replace("WITH", "WITH RECURSIVE", 1).rstrip()
+#: A row is a core unless an earlier core's local set has it, by falling size of its local set.
+_CORES = (
+    _RECURSIVE
+    + """, O AS (SELECT N.i, N.yi, list(j) FILTER (P.yj = N.yi AND dist < o) AS js FROM N JOIN P USING (i) GROUP BY N.i, N.yi),
+ W AS (SELECT N.i, N.yi, coalesce(js, []) AS js, row_number() OVER (PARTITION BY N.yi ORDER BY -((N.o > 0)::INT + len(coalesce(js, []))), N.i) AS n FROM N JOIN O USING (i)),
+ Y AS (SELECT 0::BIGINT AS n, yi, []::BIGINT[] AS covered, 0::BIGINT AS cores FROM N GROUP BY yi
+  UNION ALL SELECT W.n, Y.yi, CASE WHEN list_contains(covered, i) THEN covered ELSE list_distinct(list_concat(covered, js)) END, cores + (NOT list_contains(covered, i))::INT FROM Y JOIN W ON W.yi = Y.yi AND W.n = Y.n + 1)
+ SELECT round((SELECT sum(c) FROM (SELECT max(cores) AS c FROM Y GROUP BY yi)) / (SELECT count(*) FROM D), 6) AS value"""
+)
+#: Per class, balls that reach to the nearest other class; the one with most new rows first, then the lowest id.
+_BALLS = (
+    _RECURSIVE
+    + """, O AS (SELECT N.i, N.yi, N.o AS radius, list_append(coalesce(list(j) FILTER (P.yj = N.yi AND dist <= o), []), N.i) AS js FROM N JOIN P USING (i) GROUP BY N.i, N.yi, N.o),
+ Y AS (SELECT yi, NULL::BIGINT AS id, NULL::DOUBLE AS radius, 0::BIGINT AS members, list(i) AS free FROM N GROUP BY yi
+  UNION ALL SELECT yi, i, radius, len(got), list_filter(free, lambda x: NOT list_contains(got, x)) FROM (
+   SELECT Y.yi, O.i, O.radius, Y.free, list_intersect(O.js, Y.free) AS got FROM Y JOIN O ON O.yi = Y.yi WHERE len(Y.free) > 0
+   QUALIFY row_number() OVER (PARTITION BY Y.yi ORDER BY len(got) DESC, O.i) = 1)),
+ A AS (SELECT yi, id, radius, members FROM Y WHERE id IS NOT NULL)"""
+)
+
+
+def _tree(rows: str) -> str:
+    """Prim's tree over a table (id, label, f0, f1), from the lowest id: a CTE T(id, a, b) with the edge that brought each row in."""
+    return f"""E AS (SELECT a.id AS i, b.id AS j, {_HEOM} AS dist, (a.label <> b.label) AS crosses FROM {rows} a JOIN {rows} b ON a.id <> b.id, RR),
+ TT AS (SELECT [min(id)] AS seen, NULL::BIGINT AS a, NULL::BIGINT AS b, FALSE AS crosses FROM {rows}
+  UNION ALL SELECT list_append(seen, j), i, j, crosses FROM (SELECT seen, E.i, E.j, E.crosses FROM TT JOIN E ON list_contains(seen, E.i) AND NOT list_contains(seen, E.j)
+   WHERE E.dist > 0 ORDER BY E.dist, least(E.i, E.j), greatest(E.i, E.j) LIMIT 1)),
+ H AS (SELECT DISTINCT unnest([a, b]) AS id FROM TT WHERE crosses)"""
+
+
+_RANGES = "RR AS (SELECT CASE WHEN max(f0) > min(f0) THEN max(f0) - min(f0) ELSE 1 END AS r0, CASE WHEN max(f1) > min(f1) THEN max(f1) - min(f1) ELSE 1 END AS r1 FROM {})"
+
+SQL |= {
+    "f4": _f4_sql(),
+    "f1v_lineitem": _f1v_sql(),
+    "n4": _N4,
+    "purity_index": SQL["purity"].replace("SELECT res::INT AS res", ", Y AS (SELECT res::INT AS res", 1)
+    + "), W AS (SELECT res, purity / (2 ^ res) AS w FROM Y), Z AS (SELECT res, coalesce((w - min(w) OVER ()) / nullif(max(w) OVER () - min(w) OVER (), 0), 0) AS z FROM W) SELECT round(sum((a.z + b.z) / 2) / 31 / 0.702, 6) AS value FROM Z a JOIN Z b ON b.res = a.res + 1",
+    "neigh_sep": _SEPARABLE,
+    "density_peaks": _PEAKS,
+    "cross_validate": _FOLDS,
+    "clust": _CORES,
+    "onb": _BALLS + " SELECT round(avg(c / n), 6) AS value FROM (SELECT yi, count(*) AS c FROM A GROUP BY yi) JOIN (SELECT yi, count(*) AS n FROM N GROUP BY yi) USING (yi)",
+    "nsg": _BALLS + " SELECT round(avg(members), 6) AS value FROM A",
+    "icsv": _BALLS + f", V AS (SELECT {math.pi} * (radius / coalesce(nullif((SELECT max(radius) FROM A), 0), 1)) ^ 2 AS v, members FROM A) SELECT round(stddev_pop(CASE WHEN v > 0 THEN members / v END), 6) AS value FROM V",
+    "n1_mst": f"WITH RECURSIVE {_D}, {_RANGES.format('D')}, {_tree('D')} SELECT round((SELECT count(*) FROM H) / (SELECT count(*) FROM D), 6) AS value",
+    "dbc": _BALLS + f", BB AS (SELECT D.* FROM D JOIN A USING (id)), {_RANGES.format('BB')}, {_tree('BB')} SELECT round((SELECT count(*) FROM H) / (SELECT count(*) FROM BB), 6) AS value",
+}
