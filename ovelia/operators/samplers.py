@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..functions.shipping import ship
-from ..functions.stages import cut, numbered, small
+from ..functions.stages import cut, numbered, quantiles, small
 from ..sources.labelled import minmax_scaler, standard_scaler, width
 from .distance import Block, block_join, distances, knn, nearest_by_class
 from .numerics import KERNEL_ROWS, SVC, OneClass, gram, svdd
@@ -282,7 +282,7 @@ class KMeansUndersampling(Sampler):
         if p["method"] == "HKM":
             y = x.withColumn("_d", F.array_sort(F.array(*[F.sqrt(_squared(c)) for c in centres]))).withColumn("ratio", F.col("_d")[0] / (F.col("_d")[1] + 1e-10))
             q = p["percentile"] / 100
-            limit = y.agg(F.percentile("ratio", F.lit(q if p["mode"] == "central" else 1 - q))).first()[0]
+            limit = quantiles(y, F.array("ratio"), [q if p["mode"] == "central" else 1 - q])[0][0]
             return y.where(F.col("ratio") < limit if p["mode"] == "central" else F.col("ratio") > limit)
         if p["method"] == "FCM":
             return memberships(x, centres, p["m"]).where(second > p["membership"])
@@ -437,11 +437,8 @@ def overlap_region(df: DataFrame, k: int = 5) -> DataFrame:
 
 def iqr_filter(df: DataFrame, factor: float = 1.5) -> DataFrame:
     """Rows of which all features lie within factor interquartile ranges of the quartiles of all rows."""
-    d = width(df)
-    row = df.agg(*[F.percentile(F.col("features")[k], F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{k}") for k in range(d)]).first()
     ok = F.lit(True)
-    for k in range(d):
-        q1, q3 = row[k]
+    for k, (q1, q3) in enumerate(quantiles(df, F.col("features"), [0.25, 0.75])):
         ok = ok & F.col("features")[k].between(q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return df.where(ok)
 
@@ -821,7 +818,7 @@ class OSM(Sampler):
         y = cut(y.join(F.broadcast(mixed), "c").withColumn("gap", F.abs(own - F.coalesce(other, own))).withColumn("over", F.col("mixed") | (own / (F.coalesce(other, own) + 1e-10) > 0.7)))
         parts = {r["over"]: r["count"] for r in y.groupBy("over").count().collect()}
         if len(parts) < 2:
-            limit = y.agg(F.percentile("gap", F.lit(p["overlap_threshold"]))).first()[0]
+            limit = quantiles(y, F.array("gap"), [p["overlap_threshold"]])[0][0]
             y = y.withColumn("over", F.col("gap") <= limit)
         inner = y.where("not over")
         self.stats_["overlap"] = y.where("over").count()

@@ -141,17 +141,19 @@ def compare_pre_post(before: DataFrame, after: DataFrame, measures: tuple[str, .
     return before.sparkSession.createDataFrame(rows, "measure string, before double, after double, absolute double, relative double")
 
 
-def overlap_picture(df: DataFrame, components: int = 2) -> DataFrame:
-    """(id, label, pc, value): rows in their first principal components, of centred features."""
+def overlap_picture(df: DataFrame, components: int = 2, source: DataFrame | None = None) -> DataFrame:
+    """(id, label, pc, value): rows in the first principal components of source, or of their own; with source, before and after resampling share their axes."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     from ..sources.labelled import width
 
-    d = width(df)
-    mean = df.agg(*[F.avg(F.col("features")[k]) for k in range(d)]).first()
-    x = df.select("id", "label", array_to_vector(F.array(*[F.col("features")[k] - mean[k] for k in range(d)])).alias("v"))
-    y = x if d <= components else PCA(k=components, inputCol="v", outputCol="w").fit(x).transform(x).drop("v").withColumnRenamed("w", "v")
+    fit = df if source is None else source
+    d = width(fit)
+    mean = fit.agg(*[F.avg(F.col("features")[k]) for k in range(d)]).first()
+    centred = lambda t: t.select("id", "label", array_to_vector(F.array(*[F.col("features")[k] - mean[k] for k in range(d)])).alias("v"))
+    x = centred(df)
+    y = x if d <= components else PCA(k=components, inputCol="v", outputCol="w").fit(centred(fit)).transform(x).drop("v").withColumnRenamed("w", "v")
     return y.select("id", "label", F.posexplode(vector_to_array("v")).alias("pc", "value"))
 
 

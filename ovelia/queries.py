@@ -160,6 +160,8 @@ QUERIES = {
     "label_orient": _on(lambda x: lb.encode_label(x.withColumn("q", 1 - F.col("label")).drop("label"), "q")[0].select("id", "label")),
     "standardize_stats": _on(_radius_stats, table_l),
     "standardize": _on(lambda x: _features(lb.standard_scaler(x).transform(x), "id")),
+    "inverse_scale": _on(lambda x: (lambda s: _features(s.inverse(s.transform(x)), "id"))(lb.standard_scaler(x))),
+    "preview": _on(lambda x: _features(lb.preview(x, 7), "id", "label")),
     "minmax_scale": _on(lambda x: _features(lb.minmax_scaler(x).transform(x), "id")),
     "iqr_filter": _on(lambda x: sm.iqr_filter(x).select("id")),
     "iqr_filter_lineitem": _on(lambda x: sm.iqr_filter(x).groupBy("label").agg(F.count(F.lit(1)).alias("n")), table_l),
@@ -225,6 +227,7 @@ QUERIES = {
     "analyze_overlap": _held(_analysis),
     "compare_pre_post": _held(lambda x: ov.compare_pre_post(x, sm.NBUS("basic").resample(x))),
     "overlap_picture": _held(ov.overlap_picture, table_e),
+    "overlap_picture_after": _held(lambda x: ov.overlap_picture(sm.RandomUnderSampler().resample(x), source=x).select("id", "label", "pc", F.round("value", 6).alias("value"))),
     "hardness_picture": _held(lambda x: ov.ComplexityMeasures(x).hardness_picture(), table_e),
     "measure_table": _held(lambda x: ov.ComplexityMeasures(x).table()),
     "resampling_table": _held(lambda x: ov.resampling_table(x, {n: t.resample(x) for n, t in techniques().items()})),
@@ -556,3 +559,54 @@ SQL |= {
     "n1_mst": f"WITH RECURSIVE {_D}, {_RANGES.format('D')}, {_tree('D')} SELECT round((SELECT count(*) FROM H) / (SELECT count(*) FROM D), 6) AS value",
     "dbc": _BALLS + f", BB AS (SELECT D.* FROM D JOIN A USING (id)), {_RANGES.format('BB')}, {_tree('BB')} SELECT round((SELECT count(*) FROM H) / (SELECT count(*) FROM BB), 6) AS value",
 }
+
+
+def _clustering_sql(method: str) -> str:
+    """The rounds of KMeansUndersampling with its defaults, from the same three rows, then the rows it takes out."""
+    at = [f"c{i}{f}" for i in range(3) for f in range(2)]
+    near = ", ".join(f"sqrt((f0 - c{i}0) * (f0 - c{i}0) + (f1 - c{i}1) * (f1 - c{i}1)) AS d{i}" for i in range(3))
+    safe = [f"greatest(d{i}, 1e-10)" for i in range(3)]
+    mu = ", ".join(f"1 / ({' + '.join(f'({safe[i]} / {safe[j]}) ^ 2' for j in range(3))}) AS mu{i}" for i in range(3))
+    upper = ", ".join(f"(d{i} - least(d0, d1, d2) <= 0.1)::INT AS u{i}" for i in range(3))
+    hard = "CASE WHEN round(d0, 9) <= round(d1, 9) AND round(d0, 9) <= round(d2, 9) THEN 0 WHEN round(d1, 9) <= round(d2, 9) THEN 1 ELSE 2 END AS c"
+    rows = lambda source: f"(SELECT *, {mu}, {upper}, {hard} FROM (SELECT *, {near} FROM {source}))"
+
+    def mean(i: int, f: int) -> str:
+        if method == "HKM":
+            return f"coalesce(avg(f{f}) FILTER (c = {i}), c{i}{f})"
+        if method == "FCM":
+            return f"sum(mu{i} * mu{i} * f{f}) / sum(mu{i} * mu{i})"
+        w = f"mu{i} * mu{i} * " if method == "FRKM" else ""
+        low, up = (f"(sum({w}f{f}) FILTER ({x}) / count(*) FILTER ({x}))" for x in (f"u{i} = 1 AND u0 + u1 + u2 = 1", f"u{i} = 1 AND u0 + u1 + u2 > 1"))
+        return f"coalesce(0.95 * {low} + (1 - 0.95) * {up}, {low}, {up}, c{i}{f})"
+
+    new = ", ".join(f"{mean(i, f)} AS n{i}{f}" for i in range(3) for f in range(2))
+    step = f"SELECT n, {', '.join(at)}, {new} FROM {rows('Y, X WHERE n < 100 AND moved >= 1e-5')} GROUP BY n, {', '.join(at)}"
+    moved = " + ".join(f"(n{c[1:]} - {c}) * (n{c[1:]} - {c})" for c in at)
+    first = ", ".join(f"max(f{f}) FILTER (r = {i + 1}) AS c{i}{f}" for i in range(3) for f in range(2))
+    second = "list_sort([mu0, mu1, mu2])[2] > 0.3"
+    ratio = "list_sort([d0, d1, d2])[1] / (list_sort([d0, d1, d2])[2] + 1e-10)"
+    gone = {"HKM": f"{ratio} < (SELECT quantile_cont({ratio}, 0.1) FROM Z)", "FCM": second, "RKM": "u0 + u1 + u2 > 1", "FRKM": f"u0 + u1 + u2 > 1 OR {second}"}[method]
+    return f"""WITH RECURSIVE {_D}, X AS (SELECT id, f0, f1, row_number() OVER (ORDER BY {uniform_sql(42, 'centre', 'id')}, id) AS r FROM D WHERE label = 0),
+ Y AS (SELECT 0 AS n, 1e9::DOUBLE AS moved, {first} FROM X WHERE r <= 3
+  UNION ALL SELECT n + 1, sqrt({moved}), {', '.join(f'n{c[1:]}' for c in at)} FROM ({step})),
+ Z AS (SELECT * FROM {rows('(SELECT * FROM Y ORDER BY n DESC LIMIT 1), X')}), G AS (SELECT id FROM Z WHERE {gone}) {_KEPT}"""
+
+
+#: Radii along the pointers to nearest enemies, then the balls that no later ball contains.
+_SPHERES = f"""WITH RECURSIVE {_U}, N AS (SELECT i, j AS e, dist AS d FROM P WHERE yi <> yj QUALIFY row_number() OVER (PARTITION BY i ORDER BY dist, j) = 1),
+ M AS (SELECT a.i, a.e, a.d, b.e = a.i AS mutual FROM N a JOIN N b ON b.i = a.e),
+ Y AS (SELECT i AS id, i AS here, 1 AS sign, 0::DOUBLE AS acc FROM M
+  UNION ALL SELECT id, CASE WHEN mutual THEN NULL ELSE e END, -sign, acc + sign * CASE WHEN mutual THEN d / 2 ELSE d END FROM Y JOIN M ON M.i = Y.here),
+ A AS (SELECT id, abs(acc) AS radius FROM Y WHERE here IS NULL),
+ G AS (SELECT DISTINCT a.id FROM A a JOIN P ON P.i = a.id JOIN A b ON b.id = P.j WHERE (b.radius > a.radius OR (b.radius = a.radius AND b.id > a.id)) AND round(dist + a.radius, 9) <= round(b.radius, 9))
+ SELECT round(((SELECT count(*) FROM A) - (SELECT count(*) FROM G)) / (SELECT count(*) FROM D), 6) AS value"""
+
+SQL |= {
+    "inverse_scale": f"WITH {_D} SELECT id, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM D",
+    "preview": f"WITH {_D} SELECT id, label, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM D ORDER BY id LIMIT 7",
+    "overlap_picture_after": SQL["rus"].replace("SELECT id, label, 'orig' AS origin FROM D", ", A AS (SELECT id, label, 'orig' AS origin FROM D", 1)
+    + ") SELECT id, A.label, pc::INT AS pc, round(CASE pc WHEN 0 THEN f0 - (SELECT avg(f0) FROM D) ELSE f1 - (SELECT avg(f1) FROM D) END, 6) AS value FROM A JOIN D USING (id), range(2) AS t(pc)",
+}
+
+SQL |= {**{n.lower(): _clustering_sql(n) for n in sm.KMeansUndersampling.METHODS}, "t1": _SPHERES}

@@ -71,6 +71,19 @@ def encode_categories(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dic
     return df, maps
 
 
+def decode_categories(df: DataFrame, maps: dict[str, dict]) -> DataFrame:
+    """The reverse of encode_categories: codes back to values, null where a code has none."""
+    for c, codes in maps.items():
+        pairs = [F.lit(x) for value, code in codes.items() for x in (code, value)]
+        df = df.withColumn(c, F.try_element_at(F.create_map(*pairs), F.col(c).cast("double")) if pairs else F.lit(None).cast("string"))
+    return df
+
+
+def preview(df: DataFrame, rows: int = 5) -> DataFrame:
+    """The rows of the lowest ids: each task keeps as many, none sorts the table."""
+    return df.orderBy("id").limit(rows)
+
+
 def feature_kinds(df: DataFrame, features: list[str]) -> list[int]:
     """0 for numeric features, 1 for categorical ones."""
     return [0 if isinstance(df.schema[c].dataType, T.NumericType) else 1 for c in features]

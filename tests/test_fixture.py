@@ -192,3 +192,32 @@ def test_unknown_names():
         sm.NBUS("none")
     with pytest.raises(ValueError):
         fit_predict(None, None, "none")
+
+
+@pytest.mark.parametrize("few", [1, 4096])
+def test_quantiles_are_exact(spark, monkeypatch, few):
+    from ovelia.functions import stages
+
+    monkeypatch.setattr(stages, "FEW", few)
+    monkeypatch.setattr(stages, "BARS", 8)
+    x = spark.range(997).select(F.array(F.exp(F.rand(5) * 30 - 9), F.floor(F.col("id") / 100).cast("double"), F.lit(2.5), F.when(F.col("id") % 3 > 0, F.col("id") * -1.0)).alias("v"))
+    x = stages.cut(x)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    want = x.agg(*[F.percentile(F.col("v")[k], F.array(*map(F.lit, shares))) for k in range(4)]).first()
+    assert stages.quantiles(x, F.col("v"), shares) == [list(w) for w in want]
+    assert stages.quantiles(x.where("false"), F.col("v"), shares) == []
+
+
+def test_categories_come_back(spark):
+    x = spark.createDataFrame([(1, "b", None), (2, "a", "z"), (3, None, "y")], "id int, p string, q string")
+    coded, maps = lb.encode_categories(x, ["p", "q"])
+    assert sorted(lb.decode_categories(coded, maps).collect()) == sorted(x.collect())
+
+
+def test_pictures_share_axes(spark):
+    from ovelia.plans.overlap import overlap_picture
+
+    x = spark.range(40).select("id", (F.col("id") % 2).cast("int").alias("label"), F.array(*[F.rand(k) * (k + 1) for k in range(4)]).alias("features")).cache()
+    part = x.where("id < 9")
+    key = lambda r: (r["id"], r["pc"])
+    assert sorted(overlap_picture(part, 2, x).collect(), key=key) == sorted(overlap_picture(x).where("id < 9").collect(), key=key)
