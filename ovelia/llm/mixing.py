@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stages import BARS, FEW, numbered
 from .common import cut, small, word_count
 
 #: Hashes have 62 bits; the top 12 of them are the bucket of a first, pre-aggregated pass.
@@ -26,28 +27,43 @@ def cyclic_weight(rank: Column) -> Column:
     return ((rank - 1) % 3 + 1).cast("double")
 
 
+def water_level(sizes: DataFrame) -> float | None:
+    """The level up to which sources(_fill, _cap, weight, source_size) fill, None where all reach their caps.
+
+    What is taken up to a level, the caps of the sources that it fills and level * weight of the others, grows with it:
+    between two fills the sources are summed in BARS equal bars, and the bar in which the words are all dealt out is
+    taken next, until one fill is left. No task sees all sources.
+    """
+    sums = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"), F.min("_fill").alias("lo"), F.max("_fill").alias("hi"), F.sum("_cap").alias("cap"), F.sum("weight").alias("weight"))
+    total = float(sizes.agg(F.sum("source_size")).first()[0] or 0)
+    at, below, above = sums(sizes.groupBy()).first(), 0.0, 0.0
+    if not at["n"] or at["cap"] < total:
+        return None
+    while at["lo"] != at["hi"]:
+        lo, hi = F.lit(at["lo"]), F.lit(at["hi"])
+        bar = F.col("_fill") if at["n"] <= FEW else F.floor(F.least((F.col("_fill") - lo) / (hi - lo) * BARS, F.lit(BARS - 1.0))).cast("double")
+        bars = sorted(sums(sizes.where(F.col("_fill").between(lo, hi)).groupBy(bar.alias("b"))).collect(), key=lambda r: r["b"])
+        rest = sum(r["weight"] for r in bars)
+        for at in bars:
+            rest -= at["weight"]
+            if below + at["cap"] + at["hi"] * (rest + above) >= total or at is bars[-1]:
+                break
+            below += at["cap"]
+        above += rest
+    return (total - below) / (at["weight"] + above)
+
+
 def targets(sizes: DataFrame, max_epochs: float = 3.0, weight=cyclic_weight) -> DataFrame:
     """Adds weight and target to sizes(src, source_size).
 
     Clamping at the cap and sharing the excess by weight, until no source is above its cap, ends at
-    target = min(cap, level * weight); the level follows from sums over sources in order of cap / weight. One row per
-    source goes through these windows: sizes must already be aggregated.
+    target = min(cap, level * weight).
     """
-    by_name = Window.orderBy(F.col("src").asc_nulls_last())
-    by_fill = Window.orderBy("_fill", F.col("src").asc_nulls_last())
-    every = Window.partitionBy()
-    df = sizes.withColumn("weight", weight(F.row_number().over(by_name))).withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs)))
-    df = df.withColumn("_fill", F.col("_cap") / F.col("weight"))
-    upto = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    df = (
-        df.withColumn("_total", F.sum("source_size").over(every).cast("double"))
-        .withColumn("_capped", F.coalesce(F.sum("_cap").over(upto), F.lit(0.0)))
-        .withColumn("_open", F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_open"))
-    )
-    # The first source, in this order, that its level does not fill is where the level holds for it and all later ones.
-    df = df.withColumn("_at", F.min(F.when(F.col("_level") <= F.col("_fill"), F.struct("_fill", "_level"))).over(every))
-    return df.withColumn("target", F.least("_cap", F.coalesce(F.col("_at._level") * F.col("weight"), F.col("_cap")))).select("src", "source_size", "weight", "target")
+    df = numbered(sizes, F.col("src").asc_nulls_last(), name="_rank").withColumn("weight", weight(F.col("_rank") + 1))
+    df = df.withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs))).withColumn("_fill", F.col("_cap") / F.col("weight"))
+    level = water_level(df)
+    target = F.col("_cap") if level is None else F.least("_cap", F.lit(level) * F.col("weight"))
+    return df.select("src", "source_size", "weight", target.alias("target"))
 
 
 def _threshold(rows: DataFrame, plan: DataFrame, wanted: str) -> DataFrame:

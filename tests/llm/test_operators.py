@@ -42,6 +42,29 @@ def test_targets_water_fill(spark):
     assert {s: round(v, 6) for s, v in got.items()} == {s: round(v, 6) for s, v in want.items()}
 
 
+def test_water_level_in_bars(spark, monkeypatch):
+    """Bars narrow down to the level that repeated sharing gives, for many sources, equal fills and empty ones."""
+    rng = np.random.default_rng(2)
+    sizes = [int(10 ** rng.uniform(0, 6)) for _ in range(300)] + [0, 0, 7, 7, 7]
+    df = spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "src string, source_size long")
+    want, free, left = {}, set(range(len(sizes))), float(sum(sizes))
+    while True:
+        share = {s: left * (s % 3 + 1) / sum(f % 3 + 1 for f in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            want |= share
+            break
+        want |= {s: 3.0 * sizes[s] for s in over}
+        left -= sum(3.0 * sizes[s] for s in over)
+        free -= over
+    monkeypatch.setattr(mixing, "FEW", 2)
+    monkeypatch.setattr(mixing, "BARS", 16)
+    got = {int(r["src"][1:]): r["target"] for r in mixing.targets(df).collect()}
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(sum(sizes))
+    assert mixing.targets(df, 1.0).where("target <> source_size").count() == 0
+    assert mixing.targets(df.where("source_size = 0")).agg(F.sum("target")).first()[0] == 0
+
+
 def test_mix_comes_near_and_repeats(spark, edges, nothing):
     rng = np.random.default_rng(0)
     texts = [" ".join(["w"] * int(n)) for n in rng.integers(0, 60, 400)]
