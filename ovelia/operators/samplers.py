@@ -155,20 +155,20 @@ class NBUS(Sampler):
     def resample(self, df: DataFrame) -> DataFrame:
         hi, lo, a, b = sides(df)
         k = self.params["k"] or int(math.sqrt(a + b) + a / b)
-        nn = cut(knn(df, k).select("i", "yi", "j", "yj"))
         method = self.params["method"]
-        near = nn.where((F.col("yi") == hi) & (F.col("yj") == lo))
-        if method == "basic":
+        of = lambda label: df.where(F.col("label") == label)
+        # Lists are reduced as they are made: all of them would be k rows for each row of the table.
+        if method in ("basic", "tomek"):
+            near = knn(of(hi), k, df, only=lo).select("i", "j")
+            if method == "tomek":
+                near = near.join(knn(of(lo), k, df, only=hi).select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"], "left_semi")
             gone = near.select(F.col("i").alias("id")).distinct()
-        elif method == "tomek":
-            back = nn.where((F.col("yi") == lo) & (F.col("yj") == hi)).select(F.col("j").alias("i"), F.col("i").alias("j"))
-            gone = near.select("i", "j").join(back, ["i", "j"], "left_semi").select(F.col("i").alias("id")).distinct()
         else:
-            often = lambda q: q.where(F.col("yj") == hi).groupBy(F.col("j").alias("id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
-            gone = often(nn.where(F.col("yi") == lo))
+            often = lambda q: knn(q, k, df, only=hi).groupBy(F.col("j").alias("id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+            gone = often(of(lo))
             if method == "recursive":
                 gone = cut(gone)
-                gone = gone.unionByName(often(nn.join(gone.select(F.col("id").alias("i")), "i", "left_semi"))).distinct()
+                gone = gone.unionByName(often(cut(df.join(gone, "id", "left_semi")))).distinct()
         gone = cut(gone)
         n = gone.count()
         self.stats_ = {"original": {"n_negative": a, "n_positive": b, "k_used": k}, "final": {"n_negative": a - n, "n_positive": b, "n_removed": n}}
