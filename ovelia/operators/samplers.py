@@ -447,18 +447,22 @@ def density_peaks(df: DataFrame, share: float = 0.02, rho_threshold: float = 0.0
     """(id, rho, delta, noisy): density and distance to the nearest denser row, of the rows of one class.
 
     The cut-off distance is the mean distance to the neighbour of rank max(1, floor(share * n)). Equal densities are
-    ordered by id. rho and delta are scaled to 0..1; noisy rows are isolated: of little density, and far away.
+    ordered by id; densities are summed as whole numbers, so that rows of one place have equal ones, in whatever order
+    tasks end. rho and delta are scaled to 0..1; noisy rows are isolated: of little density, and far away.
     """
     x = cut(df.select("id", "label", "features"))
     n = x.count()
     rank = max(1, int(share * n))
-    dc = knn(x, rank).where(F.col("rk") == rank).agg(F.avg("dist")).first()[0] or 1.0
+    total, ends = knn(x, rank).where(F.col("rk") == rank).agg(F.sum(F.col("dist").cast("decimal(28,9)")), F.count(F.lit(1))).first()
+    dc = float(total) / ends if total else 1.0
 
     def density(q: Block, e: Block) -> pa.Table:
-        v = np.exp(-((distances(q.x, e.x) / dc) ** 2)).sum(1) if len(q.id) and len(e.id) else np.zeros(len(q.id))
-        return pa.table({"id": q.id, "rho": v})
+        # In units of 2^-30, and what is left of them in units of 2^-60.
+        v = np.exp(-((distances(q.x, e.x) / dc) ** 2)) * 2.0**30 if len(q.id) and len(e.id) else np.zeros((len(q.id), 0))
+        return pa.table({"id": q.id, "high": np.floor(v).astype(np.int64).sum(1), "low": np.rint(v % 1 * 2.0**30).astype(np.int64).sum(1)})
 
-    rho = cut(block_join(x, x, density, "id long, rho double").groupBy("id").agg(F.round(F.sum("rho"), 9).alias("rho")))
+    rho = (F.sum("high") + F.sum("low") / 2.0**30) / 2.0**30
+    rho = cut(block_join(x, x, density, "id long, high long, low long").groupBy("id").agg(F.round(rho, 9).alias("rho")))
     y = cut(x.join(rho, "id"))
 
     def higher(q: Block, e: Block) -> pa.Table:

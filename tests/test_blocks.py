@@ -113,3 +113,17 @@ def test_empty_and_one_row(spark, tiny):
     assert distance.knn(x.where("id = 3"), 3).count() == 0
     one = distance.nearest_by_class(x.where("id = 3")).first()
     assert one["same_j"] is None and one["other_j"] is None
+
+
+def test_equal_densities_of_one_place(spark, monkeypatch):
+    """Of rows of one place all but the lowest id have a denser row at no distance, even unrounded; before, sums in another order parted some."""
+    monkeypatch.setattr(F, "round", lambda c, digits=0: F.col(c) if isinstance(c, str) else c)
+    x = np.random.default_rng(6).normal(0, 60, (1500, 2)).tolist()
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x + x)], SCHEMA).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r for r in sm.density_peaks(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(got[i]["delta"] == 0 and got[i]["rho"] == got[i - 1500]["rho"] for i in range(1500, 3000))
+    assert all(got[i]["delta"] > 0 for i in range(1500))
