@@ -26,9 +26,8 @@ LANDMARKS = 256
 #: Bound of the rows that the model is fitted on, for each language.
 EACH = 500
 PENALTY = 1e-4
-#: Score, 0.5 where a machine is undecided, below which a text is in none of the languages: far from all of them. Texts of
-#: one word reach 0.3.
-LEAST = 0.15
+#: Score, 0.5 where a machine is undecided, below which a text is in none of the languages: no machine takes it for its own.
+LEAST = 0.5
 #: Texts in a matrix product.
 ROWS = 256
 

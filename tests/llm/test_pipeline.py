@@ -79,3 +79,15 @@ def test_stages_against_brute_force(spark, sf_dir):
     # Pieces: the same rows, and their texts come back.
     back = pieces.decode(left["pieces"], pieces.load()).collect()
     assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r["doc_id"], r["text"]) for r in rows["mix"])
+
+
+def test_language_stage_drops_other_languages(spark, sf_dir):
+    """Texts in no learned language go; before, the least score was below what any text has, and all of them stayed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    other = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "9f8a7b6c5d4e3f2a1b0c 9d8e7f6a5b4c3d2e1f 0a9b8c7d6e5f4a3b2c1d", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ=" * 20,
+    ]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(other)], "doc_id long, text string")
+    got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(rows, allowMissingColumns=True), sf_dir).select("doc_id").collect()}
+    assert got == {r["doc_id"] for r in docs.select("doc_id").collect()}
