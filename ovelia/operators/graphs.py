@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stages import cut
-from .distance import Block, block_join, distances
+from ..functions.stages import BROADCAST_ROWS, cut
+from .distance import Block, Boxes, _deal, _runs, distances
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,47 +28,93 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _roots(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """components() of a few edges."""
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while up.setdefault(i, i) != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return [(i, find(i)) for i in list(up)]
+
+
 def spanning_forest(df: DataFrame, scale: list[float] | None = None, kinds: list[int] | None = None) -> DataFrame:
     """(a, b, dist, cross): edges of the minimum spanning forest over all pairs with a distance above zero.
 
-    Rows at distance zero are no neighbours. Equal distances are ordered by their ends' ids. A round costs one block
-    join, and at least halves the number of components.
+    Rows at distance zero are no neighbours. Equal distances are ordered by their ends' ids. A round at least halves the
+    number of components: rows meet their own block first, which bounds how far each component's least edge reaches, then
+    the blocks within that reach that may hold other components.
     """
-    base = df.select("id", "label", "features")
-    comp = cut(base.select("id", F.col("id").alias("comp")))
+    x = Boxes(df.select("id", "label", "features"), scale)
+    x.df = cut(x.df.withColumn("comp", F.col("id")))
+    schema = "comp long, dist double, a long, b long, other long, cross int"
     forest = None
 
     def compare(q: Block, d: Block) -> pa.Table:
-        order = np.argsort(d.id, kind="stable")
-        dist = distances(q.x, d.x[order], scale, kinds) if len(q.id) and len(d.id) else np.full((len(q.id), 1), np.inf)
-        ids = d.id[order] if len(d.id) else np.array([-1])
-        qc, dc = np.asarray(q.table.column("comp"), np.int64), np.asarray(d.table.column("comp"), np.int64)[order] if len(d.id) else np.array([-1])
-        lab = d.label[order] if len(d.id) else np.array([-1])
+        dist = distances(q.x, d.x, scale, kinds) if len(q.id) and len(d.id) else np.zeros((len(q.id), 0))
+        qc, dc = (np.asarray(b.table.column("comp"), np.int64) for b in (q, d))
         dist[(qc[:, None] == dc[None, :]) | (dist == 0)] = np.inf
-        # The least edge in (dist, lower end, higher end).
-        lo = np.minimum(q.id[:, None], ids[None, :])
-        hi = np.maximum(q.id[:, None], ids[None, :])
-        out = [(np.inf, 0, 0, 0, 0)] * len(q.id)
-        for r in range(len(q.id)):
-            m = dist[r].min()
-            if np.isfinite(m):
-                at = np.flatnonzero(dist[r] == m)
-                k = at[np.lexsort((hi[r, at], lo[r, at]))[0]]
-                out[r] = (m, lo[r, k], hi[r, k], dc[k], int(lab[k] != q.label[r]))
-        have = [r for r in range(len(out)) if np.isfinite(out[r][0])]
-        get = lambda i, t: pa.array([out[r][i] for r in have], t)
-        return pa.table({"comp": pa.array(qc[have]), "dist": get(0, pa.float64()), "a": get(1, pa.int64()), "b": get(2, pa.int64()), "other": get(3, pa.int64()), "cross": get(4, pa.int32())})
+        row, col = np.nonzero((dist == dist.min(1, initial=np.inf)[:, None]) & np.isfinite(dist))
+        lo, hi = np.minimum(q.id[row], d.id[col]), np.maximum(q.id[row], d.id[col])
+        # The least edge of each component in (dist, lower end, higher end).
+        order = np.lexsort((hi, lo, dist[row, col], qc[row]))
+        at = order[np.unique(qc[row][order], return_index=True)[1]]
+        row, col = row[at], col[at]
+        return pa.table({"comp": qc[row], "dist": dist[row, col], "a": lo[at], "b": hi[at], "other": dc[col], "cross": pa.array(q.label[row] != d.label[col]).cast(pa.int32())})
 
+    least = lambda e: e.groupBy("comp").agg(F.min(F.struct("dist", "a", "b", "other", "cross")).alias("e")).select("comp", "e.*")
     while True:
-        side = base.join(comp, "id")
-        best = block_join(side, side, compare, "comp long, dist double, a long, b long, other long, cross int").groupBy("comp").agg(F.min(F.struct("dist", "a", "b", "other", "cross")).alias("e")).select("comp", "e.*")
-        best = cut(best)
-        if best.isEmpty():
+        of = x.df.groupBy("_b").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).toPandas().sort_values("_b")
+        first, one = of["first"].to_numpy(np.int64), (of["first"] == of["last"]).to_numpy()
+        if not len(of) or (one & (first == first[0])).all():
+            break
+        mixed, near, far = np.flatnonzero(~one), None, np.full(len(of), np.inf)
+        if len(mixed):
+            near = cut(least(_deal(x, x, [(int(r), 0, int(r)) for r in mixed], compare, schema)))
+            far = x.df.join(near.select("comp", "dist"), "comp", "left").groupBy("_b").agg(F.max(F.coalesce("dist", F.lit(np.inf))).alias("far")).toPandas().sort_values("_b")["far"].to_numpy(float)
+        plan = _reaching(x, first, one, far, kinds)
+        if plan:
+            more = _deal(x, x, plan, compare, schema)
+            best = cut(least(more if near is None else more.unionByName(near)))
+        else:
+            best = near
+        if best is None or best.isEmpty():
             break
         new = best.select("a", "b", "dist", "cross").distinct()
         forest = new if forest is None else forest.unionByName(new).distinct()
-        joined = components(best.select(F.col("comp").alias("a"), F.col("other").alias("b")))
-        comp = cut(comp.join(joined, F.col("comp") == F.col("node"), "left").select("id", F.coalesce("root", "comp").alias("comp")))
+        pairs = best.select(F.col("comp").alias("a"), F.col("other").alias("b"))
+        few = pairs.limit(BROADCAST_ROWS + 1).toPandas()
+        joined = components(pairs) if len(few) > BROADCAST_ROWS else F.broadcast(df.sparkSession.createDataFrame(_roots(few.to_numpy().tolist()), "node long, root long"))
+        x.df = cut(x.df.join(joined.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"))
     if forest is None:
         return df.sparkSession.createDataFrame([], "a long, b long, dist double, cross int")
     return forest
+
+
+def _reaching(x: Boxes, first: np.ndarray, one: np.ndarray, far: np.ndarray, kinds: list[int] | None) -> list[tuple[int, int, int]]:
+    """(block, part, other block): blocks that may hold the least edge of a component in a block; a block has one component, `first`, or many.
+
+    A least edge is no longer than far, the longest that a component of the block has found, and no longer than the way to a
+    block that surely has a row of another component at some distance; all blocks of a lone component share the best of these.
+    """
+    bounds = [x.bounds(x, r, kinds) for r in range(len(first))]
+    foreign = lambda r: ~one | (one[r] & (first != first[r]))
+    reach = np.array([min(far[r], high[(low > 0) & foreign(r)].min(initial=np.inf)) for r, (low, high) in enumerate(bounds)])
+    alone = np.flatnonzero(one)
+    if len(alone):
+        names, at = np.unique(first[alone], return_inverse=True)
+        best = np.full(len(names), np.inf)
+        np.minimum.at(best, at, reach[alone])
+        reach[alone] = best[at]
+    plan = []
+    for r, (low, high) in enumerate(bounds):
+        # Blocks of one place have no distance.
+        wanted = (low <= reach[r]) & (high > 2e-9) & ~(one[r] & one & (first == first[r]))
+        wanted[r] = False
+        plan += [(r, p, int(c)) for p, c in _runs(np.flatnonzero(wanted), x.n)]
+    return plan

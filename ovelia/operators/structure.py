@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from ..functions.stages import cut
 from ..sources.labelled import width
-from .distance import Block, block_join, distances, nearest_by_class, ranges
+from .distance import Block, Boxes, block_join, distances, nearest_by_class, ranges, reach_join
 from .graphs import spanning_forest
 from .measures import _r, hypersphere_profile, local_sets
 
@@ -72,13 +72,14 @@ def _contained(balls: DataFrame) -> DataFrame:
             later = (rd[None, :] > rq[:, None]) | ((rd[None, :] == rq[:, None]) & (d.id[None, :] > q.id[:, None]))
             ok = later & (np.round(dist + rq[:, None], 9) <= np.round(rd[None, :], 9))
             order = np.lexsort((d.id, rd))
-            for r in range(len(q.id)):
-                c = order[ok[r, order]]
-                if len(c):
-                    into[r], size[r] = d.id[c[-1]], rd[c[-1]]
+            ok = ok[:, order]
+            got, last = ok.any(1), order[-1 - ok[:, ::-1].argmax(1)]
+            into, size = np.where(got, d.id[last], -1), np.where(got, rd[last], -1.0)
         return pa.table({"id": q.id, "size": size, "into": into})
 
-    parts = block_join(balls, balls, compare, "id long, size double, into long")
+    # A ball of a block reaches into another one if its centre is nearer than their radii may differ.
+    x = Boxes(balls.select("id", "label", "features", "radius"), None, ["radius"], ["radius"])
+    parts = reach_join(x, x, lambda r: x.bounds(x, r)[0] <= x.most["radius"] - x.least["radius"][r] + 2e-9, compare, "id long, size double, into long")
     return parts.groupBy("id").agg(F.max(F.struct("size", "into")).alias("m")).select("id", (F.col("m.into") >= 0).alias("inside"), F.col("m.into").alias("into"))
 
 

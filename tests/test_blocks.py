@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ovelia.operators import distance
+from ovelia.operators import distance, graphs, structure
 from ovelia.operators import samplers as sm
 
 SCHEMA = "id long, label int, features array<double>"
@@ -127,3 +127,45 @@ def test_equal_densities_of_one_place(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert all(got[i]["delta"] == 0 and got[i]["rho"] == got[i - 1500]["rho"] for i in range(1500, 3000))
     assert all(got[i]["delta"] > 0 for i in range(1500))
+
+
+def least_forest(x, scale):
+    """Kruskal over all pairs above zero, in the order of (distance, lower id, higher id)."""
+    rows = x.orderBy("id").collect()
+    f = np.array([[np.nan if v is None else v for v in r["features"]] for r in rows])
+    dist, ids = distance.distances(f, f, scale), [r["id"] for r in rows]
+    root, out = list(range(len(ids))), set()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for d, i, j in sorted((dist[i, j], i, j) for j in range(len(ids)) for i in range(j) if dist[i, j] > 0):
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+            out.add((ids[i], ids[j], d, int(rows[i]["label"] != rows[j]["label"])))
+    return out
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_forest_by_blocks(spark, tiny, monkeypatch, few):
+    """The forest is that of all pairs, also around a place of many blocks; before, every round dealt out all pairs of blocks."""
+    x, scale, met = table(spark, 300, places=30), [3.0, 5.0], []
+    old = graphs._deal
+    monkeypatch.setattr(graphs, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(graphs, "_deal", lambda q, d, plan, *rest: met.append(sum(int(q.n[a] * d.n[c]) for a, _, c in plan)) or old(q, d, plan, *rest))
+    assert {tuple(r) for r in graphs.spanning_forest(x, scale).collect()} == least_forest(x, scale)
+    assert sum(met) < 2 * 300 * 300
+
+
+def test_contained_balls_by_blocks(spark, tiny):
+    x = table(spark, 300).where("features[0] is not null").withColumn("radius", F.pmod(F.xxhash64("id"), F.lit(60)) / 4.0)
+    rows = x.collect()
+    f, r, ids = np.array([b["features"] for b in rows]), np.array([b["radius"] for b in rows]), np.array([b["id"] for b in rows])
+    dist = distance.distances(f, f)
+    for b in structure._contained(x).collect():
+        k = int(np.flatnonzero(ids == b["id"])[0])
+        over = [(r[j], ids[j]) for j in range(len(ids)) if (r[j], ids[j]) > (r[k], ids[k]) and round(dist[k, j] + r[k], 9) <= round(r[j], 9)]
+        assert (b["inside"], b["into"]) == (bool(over), max(over)[1] if over else -1)
