@@ -21,7 +21,7 @@ from ..functions.shipping import ship
 from ..functions.stages import numbered
 from ..operators.graphs import components
 from .common import cut, small
-from .textarrays import U, Words, chunks, mix64, stream
+from .textarrays import U, Words, chunks, give_back, mix64, stream
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -84,6 +84,7 @@ def _bands(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int)
             n[have] = 1
             ends = np.concatenate([[0], np.cumsum(n * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.ravel().view(np.int64)))], ["doc", "h1", "h2", "bands"])
+    give_back()
 
 
 def _payload(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -96,6 +97,7 @@ def _payload(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             for i, r in enumerate(have):
                 sets[r], sigs[r] = np.unique(s[first[i] : ends[i]]).tobytes(), v[i].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), batch.column(2)[a:b], batch.column(3)[a:b]], ["doc", "sig", "shingles", "weight", "in"])
+    give_back()
 
 
 class _Group:
@@ -186,6 +188,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, stay: dict[int
                 yield from close()
             held.append(row)
     yield from close()
+    give_back()
 
 
 def _nodes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .textarrays import BYTES, WORDS, RangeHash, U, chunks, mix64, stream
+from .textarrays import BYTES, WORDS, RangeHash, U, chunks, give_back, mix64, stream
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weights are rank**-SHARPNESS, by the order in which the model merges its pieces; larger: fewer, longer pieces.
 SHARPNESS = 1.5
-#: Distinct words whose lattices a worker keeps.
-KEPT = 150_000
+#: Distinct words whose lattices a worker keeps, and bytes of new ones whose lattices are made at once.
+KEPT, ADDED = 150_000, 1 << 15
 SPACE = 32
 
 
@@ -94,7 +94,8 @@ class _Tables:
                         ends.append(-1)
                     node = below[node][b]
                 ends[node] = i
-        self.next = np.full((len(below), 256), -1, np.int32)
+        # 0, the root, for none.
+        self.next = np.zeros((len(below), 256), np.uint16 if len(below) <= 1 << 16 else np.uint32)
         for k, d in enumerate(below):
             for b, c in d.items():
                 self.next[k, b] = c
@@ -107,7 +108,7 @@ class _Tables:
     def clear(self) -> None:
         self.known.clear()
         self.base, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.nodes, self.keys, self.source, self.piece = 0, np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.nodes, self.first, self.keys, self.source, self.piece = 0, np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     @classmethod
     def of(cls, v: Vocabulary) -> _Tables:
@@ -124,7 +125,7 @@ class _Tables:
             ok = cursor < limit[pos]
             pos, node, cursor = pos[ok], node[ok], cursor[ok]
             node = self.next[node, raw[cursor]]
-            ok = node >= 0
+            ok = node > 0
             pos, node, cursor = pos[ok], node[ok], cursor[ok] + 1
             done = self.ends[node]
             hit = done >= 0
@@ -145,7 +146,7 @@ class _Tables:
         size = np.diff(off)
         limit = np.repeat(off[1:], size)
         begin, end, piece = self._edges(raw, limit)
-        word = np.searchsorted(off, begin, "right") - 1
+        word = np.repeat(np.arange(len(size)), size)[begin]
         # A word of n bytes has n + 1 nodes.
         first = off[:-1] + np.arange(len(size))
         rel = end - off[word]
@@ -178,6 +179,10 @@ class _Tables:
         base = self.nodes + first
         for i, k in enumerate(keys.tolist()):
             self.known[k] = len(self.base) + i
+        # Where each node's edges begin.
+        edges = np.zeros(off[-1] + len(size), np.int32)
+        edges[here[start]] = len(self.keys) + start
+        self.first = np.concatenate([self.first, edges])
         self.keys = np.concatenate([self.keys, (self.nodes + here) + np.minimum(share, 1.0)])
         self.source = np.concatenate([self.source, (source - first[word]).astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
@@ -193,7 +198,12 @@ class _Tables:
         while len(live):
             u = (mix64(seed[live] + U(k * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(11)) * 2.0**-53
             # Shares end at 1 in each node, so its edges have keys in (node, node + 1].
-            edge = np.searchsorted(self.keys, base[live] + at[live] + np.maximum(u, 1e-6), "left")
+            node = base[live] + at[live]
+            edge, until = self.first[node].astype(np.int64), node + np.maximum(u, 1e-6)
+            late = np.flatnonzero(self.keys[edge] < until)
+            while len(late):
+                edge[late] += 1
+                late = late[self.keys[edge[late]] < until[late]]
             steps.append((live, self.piece[edge]))
             taken[live] += 1
             at[live] = self.source[edge]
@@ -220,17 +230,21 @@ class _Tables:
         start = np.flatnonzero(fresh)
         end = np.append(start[1:], len(raw))
         key = RangeHash(BYTES[raw], WORDS).get(start, end) ^ (end - start).astype(U)
-        row = np.searchsorted(off, start, "right") - 1
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))[start]
         ordinal = np.arange(len(start)) - np.searchsorted(start, off[:-1])[row]
         distinct, sample, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KEPT:
             self.clear()
         new = np.array([k not in self.known for k in distinct.tolist()], bool)
         if new.any():
-            s, e = start[sample[new]], end[sample[new]]
-            size = e - s
-            to = np.concatenate([[0], np.cumsum(size)])
-            self.add(raw[np.repeat(s - to[:-1], size) + np.arange(to[-1])], to, distinct[new])
+            new = np.flatnonzero(new)
+            # A few words at once: a word's lattice takes many times its bytes while it is made.
+            part = np.cumsum(end[sample[new]] - start[sample[new]]) // ADDED
+            for some in np.split(new, np.flatnonzero(np.diff(part)) + 1):
+                s = start[sample[some]]
+                size = end[sample[some]] - s
+                to = np.concatenate([[0], np.cumsum(size)])
+                self.add(raw[np.repeat(s - to[:-1], size) + np.arange(to[-1])], to, distinct[some])
         word = np.array([self.known[k] for k in distinct.tolist()], np.int64)[back]
         ids, taken = self.draw(word, mix64(row_seed[row] ^ (ordinal.astype(U) * U(0xD1342543DE82EF95))))
         upto = np.concatenate([[0], np.cumsum(taken)])
@@ -247,6 +261,7 @@ class _Tables:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, seed: int) -> Iterator[pa.RecordBatch]:
+    give_back()
     t = _Tables.of(v)
     for batch in batches:
         for a, b, raw, off in chunks(batch.column(2)):

@@ -6,6 +6,7 @@ byte range from two of its entries, so hashing a million words costs a few passe
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,15 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 18
 
 
+def give_back() -> None:
+    """Returns what Arrow and malloc hold but do not use to the system: a worker that served another stage keeps it else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(30))
     x = x * U(0xBF58476D1CE4E5B9)
