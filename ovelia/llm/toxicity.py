@@ -61,8 +61,8 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
-#: Words whose kernels are kept, token rows of kernels and letter triples of words that are held at once.
-KNOWN, SLICE, TRIPLES = 200_000, 1 << 16, 1 << 18
+#: Words whose kernels are kept, token rows of kernels, letter triples and pairs of letters of words that are held at once.
+KNOWN, SLICE, TRIPLES, CELLS = 200_000, 1 << 16, 1 << 18, 1 << 14
 
 
 def _kind(point: int) -> int:
@@ -151,33 +151,32 @@ def _padded(words: list[str]) -> np.ndarray:
 def _raw_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The kernel of each row of a (n, s) with the same row of b (n, t) or with its only row; 0 pads.
 
-    inner[i][j] is the weight of common subsequences of the order so far that end at or before i and j, spread included.
+    inner[i][j] is the weight of common subsequences of the order so far that end at or before i and j, spread included:
+    what ends at both, summed along either side with the decay.
     """
-    n, s, t = len(a), a.shape[1], b.shape[1]
-    same = [[(a[:, i] == b[:, j]) & (a[:, i] != 0) for j in range(t)] for i in range(s)]
-    inner = np.ones((s + 1, t + 1, n), np.float64)
-    total = np.zeros(n)
-    for p in range(1, order + 1):
-        new = np.zeros((s + 1, t + 1, n), np.float64)
-        for i in range(1, s + 1):
-            run = np.zeros(n)
-            for j in range(1, t + 1):
-                run = decay * run + np.where(same[i - 1][j - 1], decay * decay * inner[i - 1, j - 1], 0.0)
-                new[i, j] = decay * new[i - 1, j] + run
-                if p == order:
-                    total += np.where(same[i - 1][j - 1], decay * decay * inner[i - 1, j - 1], 0.0)
-        inner = new
-    return total
+    hit = np.where((a.T[:, None, :] == b.T[None, :, :]) & (a.T[:, None, :] != 0), decay * decay, 0.0)
+    inner = hit
+    for _ in range(1, order):
+        inner = inner.copy()
+        for j in range(1, inner.shape[1]):
+            inner[:, j] += decay * inner[:, j - 1]
+        for i in range(1, len(inner)):
+            inner[i] += decay * inner[i - 1]
+        end = np.zeros_like(hit)
+        np.multiply(hit[1:, 1:], inner[:-1, :-1], out=end[1:, 1:])
+        inner = end
+    return inner.sum((0, 1))
 
 
 def _own(words: list[str]) -> np.ndarray:
-    """The kernel of each word with itself, before it is normalised."""
-    out = np.zeros(len(words))
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for part in np.array_split(order, len(order) // 512 + 1):
-        if len(part):
-            a = _padded([words[i] for i in part])
-            out[part] = _raw_kernel(a, a)
+    """The kernel of each word with itself, before it is normalised; words of a length together, as many as stay in a core's cache."""
+    out, size = np.zeros(len(words)), np.array([len(w) for w in words], np.int64)
+    for s in np.unique(size):
+        rows = np.flatnonzero(size == s)
+        for part in np.array_split(rows, len(rows) * int(s) ** 2 // CELLS + 1):
+            if len(part):
+                a = _points([words[i] for i in part]).reshape(len(part), s)
+                out[part] = _raw_kernel(a, a)
     return out
 
 
