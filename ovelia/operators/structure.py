@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import heapq
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from ..functions.stages import cut
+from ..functions.stages import cut, small
 from ..sources.labelled import width
-from .distance import Block, Boxes, block_join, distances, nearest_by_class, ranges, reach_join
+from .distance import Block, Boxes, _deal, _runs, distances, nearest_by_class, ranges, reach_join
 from .graphs import spanning_forest
 from .measures import _r, hypersphere_profile, local_sets
 
+#: Nearest rows of all among which those of a cell are looked for first, and parts of blocks in cells that the driver weighs.
+NEAREST, SPOTS = 64, 1 << 20
+
 
 def n1(df: DataFrame, by_class: bool = False, scale: list[float] | None = None) -> DataFrame:
     """(value): share of rows on an edge of the spanning forest between classes."""
@@ -234,17 +238,25 @@ def mrca(df: DataFrame, seed: int = 42, clusters: int = 3) -> DataFrame:
 # --- resolutions ----------------------------------------------------------------------------------------------------
 
 
-def cells(df: DataFrame, resolutions: int = 32) -> DataFrame:
-    """(id, label, features, res, cell): the grid cell of each row at each resolution, as in `0-3-1`."""
+def _corners(df: DataFrame) -> tuple[list, list]:
+    """Least and greatest value of each feature."""
     d = width(df)
     row = df.agg(*[F.min(F.col("features")[k]) for k in range(d)], *[F.max(F.col("features")[k]) for k in range(d)]).first()
-    x = df.select("id", "label", "features", F.explode(F.sequence(F.lit(0), F.lit(resolutions - 1))).alias("res"))
+    return list(row[:d]), list(row[d:])
+
+
+def _cell(res: Column, least: list, most: list) -> Column:
     part = []
-    for k in range(d):
-        lo, hi = row[k], row[d + k]
-        step = F.lit(hi - lo) / (F.col("res") + 1)
+    for k, (lo, hi) in enumerate(zip(least, most, strict=True)):
+        step = F.lit(hi - lo) / (res + 1)
         part.append(F.lit(0).cast("long") if lo == hi else F.greatest(F.lit(0).cast("long"), F.ceil(F.round((F.col("features")[k] - lo) / step, 9)) - 1))
-    return x.withColumn("cell", F.concat_ws("-", *[p.cast("string") for p in part]))
+    return F.concat_ws("-", *[p.cast("string") for p in part])
+
+
+def cells(df: DataFrame, resolutions: int = 32) -> DataFrame:
+    """(id, label, features, res, cell): the grid cell of each row at each resolution, as in `0-3-1`."""
+    x = df.select("id", "label", "features", F.explode(F.sequence(F.lit(0), F.lit(resolutions - 1))).alias("res"))
+    return x.withColumn("cell", _cell(F.col("res"), *_corners(df)))
 
 
 def _auc(values: list[float]) -> float:
@@ -270,39 +282,130 @@ def purity(df: DataFrame, resolutions: int = 32) -> DataFrame:
     return df.sparkSession.createDataFrame([(round(value, 6),)], "value double")
 
 
-def neighbourhood_separability(df: DataFrame, resolutions: int = 32, kmax: int = 11) -> DataFrame:
-    """(value): area under the share of the own class among the nearest rows of a row's cell, over resolutions."""
-    scale = ranges(df)
-    x = cells(df, resolutions)
-    listed = x.groupBy("id", "label").agg(F.first("features").alias("features"), F.transform(F.sort_array(F.collect_list(F.struct("res", "cell"))), lambda s: F.xxhash64(s["cell"])).alias("cells"))
+def _in_cells(q: Block, d: Block, scale: list[float], kmax: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kmax nearest rows of d in a row's own cell, for each row of q and each resolution: (rows, resolutions, kmax) places in d, -1 for none;
+    and their distances in units of 1e-9, and the rows' cells."""
+    get = lambda b: np.asarray(b.table.column("cells").combine_chunks().flatten(), np.int64).reshape(len(b.id), -1)
+    cq, cd, n = get(q), get(d), len(d.id)
+    order = np.argsort(d.id, kind="stable")
+    cd, none = cd[order], np.iinfo(np.int64).max
+    # One number for distance and id, so that nothing ties.
+    key = np.rint(distances(q.x, d.x[order], scale) * 1e9).astype(np.int64) * n + np.arange(n)
+    key[q.id[:, None] == d.id[order][None, :]] = none
+    m = min(n, NEAREST)
+    near = np.argpartition(key, m - 1, axis=1)[:, :m]
+    near = np.take_along_axis(near, np.argsort(np.take_along_axis(key, near, 1), axis=1), 1)
+    other = np.take_along_axis(key, near, 1) != none
+    pick = np.full((*cq.shape, kmax), -1)
+    for res in range(cq.shape[1]):
+        match = (cd[near, res] == cq[:, res, None]) & other
+        run = match.cumsum(1)
+        r, c = np.nonzero(match & (run <= kmax))
+        pick[r, res, run[r, c] - 1] = near[r, c]
+        # Where the nearest of all are not enough, all of the cell.
+        short = np.flatnonzero(run[:, -1] < kmax) if m < n else np.zeros(0, int)
+        some, back = np.unique(cq[short, res], return_inverse=True)
+        for i, cell in enumerate(some):
+            rows, cols = short[back == i], np.flatnonzero(cd[:, res] == cell)
+            sub = key[np.ix_(rows, cols)]
+            if len(cols) > kmax:
+                best = np.argpartition(sub, kmax - 1, axis=1)[:, :kmax]
+                sub, cols = np.take_along_axis(sub, best, 1), cols[best]
+            else:
+                cols = np.broadcast_to(cols, sub.shape)
+            best = np.argsort(sub, axis=1)
+            pick[rows, res, : sub.shape[1]] = np.where(np.take_along_axis(sub, best, 1) == none, -1, np.take_along_axis(cols, best, 1))
+    at = np.take_along_axis(key, np.maximum(pick, 0).reshape(len(q.id), -1), 1).reshape(pick.shape) // n if n else np.zeros(pick.shape, np.int64)
+    return np.where(pick >= 0, order[pick], -1), at, cq
+
+
+def _meeting(x: Boxes, spots, corners: tuple[list, list], kmax: int) -> list[np.ndarray]:
+    """For each block those that may hold one of the kmax nearest rows of a row's cell at some resolution. spots: what of a block lies in a cell.
+
+    A cell's rows of a block look no farther than across themselves, if they are enough, nor than to the far end of a block that lies in
+    the cell as a whole.
+    """
+    m, d = len(x.n), x.d
+    has = spots[[f"has{k}" for k in range(d)]].to_numpy(np.int64)
+    box = SimpleNamespace(lo=spots[[f"lo{k}" for k in range(d)]].to_numpy(float), hi=spots[[f"hi{k}" for k in range(d)]].to_numpy(float), holes=has < spots["n"].to_numpy(np.int64)[:, None])
+    least, most = (np.array(v, float) for v in corners)
+
+    def numbers(v: np.ndarray, res: np.ndarray, room: float) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(least == most, 0, np.maximum(0, np.ceil((v - least) / ((most - least) / (res[:, None] + 1)) + room) - 1))
+
+    res = spots["res"].to_numpy(np.int64)
+    first, last = numbers(box.lo, res, -1e-6), numbers(box.hi, res, 1e-6)
+    grid = [(numbers(x.lo, np.full(m, r), -1e-6), numbers(x.hi, np.full(m, r), 1e-6)) for r in range(int(res.max()) + 1)]
+    whole, useful = ~x.holes.any(1), x.first_of_places(kmax + 1)
+    at, size = np.searchsorted(x.names, spots["_b"].to_numpy(np.int64)), spots["n"].to_numpy(np.int64)
+    out, seen = [np.zeros(m, bool) for _ in range(m)], {}
+    for i, r in enumerate(at):
+        name = (box.lo[i].tobytes(), box.hi[i].tobytes(), box.holes[i].tobytes())
+        if name not in seen:
+            own = SimpleNamespace(lo=box.lo[i : i + 1], hi=box.hi[i : i + 1], holes=box.holes[i : i + 1], scale=x.scale, d=d)
+            seen[name] = (*x.bounds(box, i), Boxes.bounds(own, box, i)[1][0])
+        low, high, across = seen[name]
+        a, b = grid[res[i]]
+        meets, reach = np.ones(m, bool), across if size[i] > kmax else np.inf
+        if not box.holes[i].any():
+            meets = ((a <= last[i]) & (b >= first[i])).all(1) | ~whole
+            if (first[i] == last[i]).all():
+                inside = whole & ((a == first[i]) & (b == first[i])).all(1) & (x.n > kmax)
+                reach = min(reach, high[inside].min(initial=np.inf))
+        out[r] |= meets & useful & (low <= reach)
+    return out
 
-    def compare(q: Block, d: Block) -> pa.Table:
-        get = lambda b: np.asarray(b.table.column("cells").combine_chunks().flatten(), np.int64).reshape(len(b.id), -1)
-        out = []
-        if len(q.id) and len(d.id):
-            order = np.argsort(d.id, kind="stable")
-            dist, cq, cd, ids, lab = distances(q.x, d.x[order], scale), get(q), get(d)[order], d.id[order], d.label[order]
-            rank = np.argsort(dist, axis=1, kind="stable")
-            for r in range(len(q.id)):
-                near = rank[r][ids[rank[r]] != q.id[r]]
-                for res in range(cq.shape[1]):
-                    at = near[cd[near, res] == cq[r, res]]
-                    at = at[:kmax]
-                    out += [(q.id[r], q.label[r], res, dist[r, k], ids[k], int(lab[k] == q.label[r])) for k in at]
-        names = ["i", "yi", "res", "dist", "j", "same"]
-        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32()], strict=True))})
 
+def neighbourhood_separability(df: DataFrame, resolutions: int = 32, kmax: int = 11) -> DataFrame:
+    """(value): area under the share of the own class among the nearest rows of a row's cell, over resolutions.
+
+    Of a row's nearest, only which are of its class matters, as bits: rows of a cell, class and bits are counted as they are made.
+    """
     ship(df.sparkSession)
-    pairs = block_join(listed, listed, compare, "i long, yi int, res int, dist double, j long, same int")
-    w = Window.partitionBy("i", "res").orderBy("dist", "j")
-    run = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= kmax).withColumn("p", F.sum("same").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("k"))
-    count = x.groupBy("res", "cell", "label").agg(F.count(F.lit(1)).alias("own"))
-    whole = x.groupBy("res", "cell").agg(F.count(F.lit(1)).alias("all"))
-    base = x.select("id", "label", "res", "cell").join(count, ["res", "cell", "label"]).join(whole, ["res", "cell"]).select("id", "res", "all", F.least(F.col("own") - 1, F.lit(kmax)).alias("m"))
-    got = base.join(run.select(F.col("i").alias("id"), "res", "k", "p"), ["id", "res"], "left").where("k is null or m = 0 or k <= m")
-    prev = F.lag("p").over(Window.partitionBy("id", "res").orderBy("k"))
-    got = got.withColumn("area", (F.col("p") + prev) / 2)
-    per = got.groupBy("id", "res").agg(F.first("m").alias("m"), F.first("all").alias("all"), F.sum("area").alias("area"), F.min_by("p", "k").alias("p1"))
-    auc = F.when((F.col("m") == 0) & (F.col("all") > 1), 0.0).when(F.col("m") == 0, 1.0).when(F.col("m") == 1, F.col("p1")).otherwise(F.col("area") / F.col("m"))
-    rows = sorted((r["res"], r["v"]) for r in per.groupBy("res").agg(F.avg(auc).alias("v")).collect())
+    scale, corners = ranges(df), _corners(df)
+    listed = df.select("id", "label", "features", F.transform(F.sequence(F.lit(0), F.lit(resolutions - 1)), lambda r: F.xxhash64(_cell(r, *corners))).alias("cells"))
+    x = Boxes(listed, scale)
+    x.df = cut(x.df)
+    f = lambda k: F.when(~F.isnan(F.col("features")[k]), F.col("features")[k])
+    each = x.df.select("_b", "label", "features", F.posexplode("cells").alias("res", "cell"))
+    spots = cut(each.groupBy("_b", "res", "cell", "label").agg(F.count(F.lit(1)).alias("n"), *[g(f(k)).alias(f"{a}{k}") for k in range(x.d) for g, a in ((F.min, "lo"), (F.max, "hi"), (F.count, "has"))]))
+    some = spots.groupBy("_b", "res", "cell").agg(F.sum("n").alias("n"), *[g(f"{a}{k}").alias(f"{a}{k}") for k in range(x.d) for g, a in ((F.min, "lo"), (F.max, "hi"), (F.sum, "has"))]).limit(SPOTS + 1).toPandas()
+    meeting = _meeting(x, some, corners, kmax) if 0 < len(some) <= SPOTS else [x.first_of_places(kmax + 1)] * len(x.n)
+    plans: tuple[list, list] = ([], [])
+    for r, at in enumerate(meeting):
+        runs = list(_runs(np.flatnonzero(at), x.n))
+        plans[bool(runs and runs[-1][0])].extend((r, p, int(c)) for p, c in runs)
+
+    def whole(q: Block, d: Block) -> pa.Table:
+        pick, _, cell = _in_cells(q, d, scale, kmax)
+        bits = (((pick >= 0) & (d.label[pick] == q.label[:, None, None])) << np.arange(kmax)).sum(2)
+        t = pa.table({"res": np.tile(np.arange(resolutions, dtype=np.int32), len(q.id)), "cell": cell.ravel(), "label": pa.array(np.repeat(q.label, resolutions), pa.int32()), "bits": bits.ravel()})
+        return t.group_by(["res", "cell", "label", "bits"]).aggregate([([], "count_all")]).rename_columns(["res", "cell", "label", "bits", "n"])
+
+    def parts(q: Block, d: Block) -> pa.Table:
+        pick, dist, cell = _in_cells(q, d, scale, kmax)
+        got = pick >= 0
+        ends = np.concatenate([[0], np.cumsum(got.sum(2).ravel())]).astype(np.int32)
+        same = d.label[pick] == q.label[:, None, None]
+        near = pa.StructArray.from_arrays([pa.array(dist[got]), pa.array(d.id[pick[got]]), pa.array(same[got].astype(np.int32))], ["dist", "j", "same"])
+        return pa.table({"i": np.repeat(q.id, resolutions), "res": np.tile(np.arange(resolutions, dtype=np.int32), len(q.id)), "cell": cell.ravel(), "label": pa.array(np.repeat(q.label, resolutions), pa.int32()), "near": pa.ListArray.from_arrays(pa.array(ends), near)})
+
+    found = None
+    if plans[0]:
+        found = _deal(x, x, plans[0], whole, "res int, cell long, label int, bits long, n long")
+    if plans[1]:
+        y = _deal(x, x, plans[1], parts, "i long, res int, cell long, label int, near array<struct<dist:long,j:long,same:int>>")
+        y = y.groupBy("i", "res", "cell", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, kmax).alias("near"))
+        bits = F.aggregate(F.transform("near", lambda s, k: s["same"].cast("long") * F.pow(F.lit(2.0), k).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+        y = y.select("res", "cell", "label", bits.alias("bits"), F.lit(1).cast("long").alias("n"))
+        found = y if found is None else found.unionByName(y)
+    own = spots.groupBy("res", "cell", "label").agg(F.sum("n").alias("own"))
+    everyone = spots.groupBy("res", "cell").agg(F.sum("n").alias("all"))
+    base = cut(own.join(everyone, ["res", "cell"]).select("res", "cell", "label", "all", F.least(F.col("own") - 1, F.lit(kmax)).alias("m")))
+    got = found.groupBy("res", "cell", "label", "bits").agg(F.sum("n").alias("n")).join(small(base), ["res", "cell", "label"])
+    p = lambda k: F.bit_count(F.col("bits").bitwiseAND(F.lit((1 << k) - 1))) / k
+    area = sum((F.when(F.col("m") >= k, (p(k) + p(k - 1)) / 2).otherwise(0.0) for k in range(2, kmax + 1)), F.lit(0.0))
+    auc = F.when((F.col("m") == 0) & (F.col("all") > 1), 0.0).when(F.col("m") == 0, 1.0).when(F.col("m") == 1, p(1)).otherwise(area / F.col("m"))
+    rows = sorted((r["res"], r["v"]) for r in got.groupBy("res").agg((F.sum(auc * F.col("n")) / F.sum("n")).alias("v")).collect())
     return df.sparkSession.createDataFrame([(round(_auc([v / 2**i for i, v in rows]), 6),)], "value double")

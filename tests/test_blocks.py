@@ -169,3 +169,46 @@ def test_contained_balls_by_blocks(spark, tiny):
         k = int(np.flatnonzero(ids == b["id"])[0])
         over = [(r[j], ids[j]) for j in range(len(ids)) if (r[j], ids[j]) > (r[k], ids[k]) and round(dist[k, j] + r[k], 9) <= round(r[j], 9)]
         assert (b["inside"], b["into"]) == (bool(over), max(over)[1] if over else -1)
+
+
+def separability(x, resolutions, kmax):
+    """All pairs of rows, cell by cell."""
+    got = structure.cells(x, resolutions).collect()
+    rows = sorted({(r["id"], r["label"]): r["features"] for r in got}.items())
+    f = np.array([[np.nan if v is None else v for v in v] for _, v in rows])
+    label, place = np.array([k[1] for k, _ in rows]), {k[0]: i for i, (k, _) in enumerate(rows)}
+    dist, values = distance.distances(f, f, distance.ranges(x)), []
+    for res in range(resolutions):
+        cell = np.empty(len(rows), object)
+        for r in got:
+            if r["res"] == res:
+                cell[place[r["id"]]] = r["cell"]
+        v = []
+        for i in range(len(rows)):
+            mates = [j for j in np.flatnonzero(cell == cell[i]) if j != i]
+            near = sorted(mates, key=lambda j: (dist[i, j], j))[:kmax]  # noqa: B023
+            m = min(kmax, sum(label[j] == label[i] for j in mates))
+            p = np.cumsum([label[j] == label[i] for j in near][:m]) / np.arange(1, m + 1)
+            v.append(float(not mates) if m == 0 else p[0] if m == 1 else sum((p[1:] + p[:-1]) / 2) / m)
+        values.append(np.mean(v) / 2**res)
+    return structure._auc(values)
+
+
+@pytest.mark.parametrize(("part", "spots"), [(32_768, 1 << 20), (64, 1 << 20), (32_768, 10)])
+def test_cells_by_blocks(spark, tiny, monkeypatch, part, spots):
+    monkeypatch.setattr(distance, "PART", part)
+    monkeypatch.setattr(structure, "NEAREST", 12)
+    monkeypatch.setattr(structure, "SPOTS", spots)
+    x = table(spark).localCheckpoint()
+    assert structure.neighbourhood_separability(x, 6, 5).first()["value"] == pytest.approx(separability(x, 6, 5), abs=2e-6)
+
+
+def test_cells_meet_few_blocks(spark, tiny, monkeypatch):
+    """Before, all pairs of blocks met, and each row's lists were dealt out resolution by resolution."""
+    rng = np.random.default_rng(1)
+    x = spark.createDataFrame([(i, i % 2, rng.random(2).tolist()) for i in range(800)], SCHEMA).localCheckpoint()
+    met = []
+    deal = structure._deal
+    monkeypatch.setattr(structure, "_deal", lambda q, d, plan, *a: met.extend(plan) or deal(q, d, plan, *a))
+    assert structure.neighbourhood_separability(x, 6, 3).first()["value"] == pytest.approx(separability(x, 6, 3), abs=2e-6)
+    assert len(met) < 0.6 * len({r for r, _, _ in met}) ** 2
