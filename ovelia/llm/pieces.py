@@ -102,17 +102,28 @@ class _Tables:
         self.ends = np.array(ends, np.int32)
         #: ASCII characters that are in no piece: each is a word of its own.
         self.lone = np.array([b < 128 and b not in plain for b in range(256)])
-        self.known: dict[int, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known.clear()
-        self.base, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.nodes, self.first, self.keys, self.source, self.piece = 0, np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        #: Keys of words in order, and each one's number.
+        self.known, self.number = np.zeros(0, U), np.zeros(0, np.int32)
+        self.base, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # An edge goes back by its piece's bytes, so where it begins need not be kept.
+        self.nodes, self.first, self.keys, self.piece = 0, np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.uint16 if len(self.size) <= 1 << 16 else np.int32)
+
+    def _append(self, name: str, more: np.ndarray) -> None:
+        """In place: two copies of what is kept never stand side by side."""
+        kept = getattr(self, name)
+        n = len(kept)
+        kept.resize(n + len(more), refcheck=False)
+        kept[n:] = more
 
     @classmethod
     def of(cls, v: Vocabulary) -> _Tables:
-        return cls.made.setdefault(v.name, None) or cls.made.__setitem__(v.name, cls(v)) or cls.made[v.name]
+        if v.name not in cls.made:
+            cls.made[v.name] = cls(v)
+            give_back()
+        return cls.made[v.name]
 
     def _edges(self, raw: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces in words that lie one after the other in raw: where they begin and end, and their ids. limit: each byte's end of word."""
@@ -142,7 +153,7 @@ class _Tables:
         return np.concatenate([begin, bare]), np.concatenate([end, bare + 1]), np.concatenate([piece, self.byte_ids[raw[bare]]])
 
     def add(self, raw: np.ndarray, off: np.ndarray, keys: np.ndarray) -> None:
-        """Adds the lattices of new words, with their sums filtered forward."""
+        """Adds the lattices of new words, with their sums filtered forward; keys are in order."""
         size = np.diff(off)
         limit = np.repeat(off[1:], size)
         begin, end, piece = self._edges(raw, limit)
@@ -176,17 +187,13 @@ class _Tables:
         share = run - np.repeat(run[start] - part[start], runs) if len(here) else run
         last = start + runs - 1
         share[last] = 1.0
-        base = self.nodes + first
-        for i, k in enumerate(keys.tolist()):
-            self.known[k] = len(self.base) + i
+        at = np.searchsorted(self.known, keys)
+        self.known, self.number = np.insert(self.known, at, keys), np.insert(self.number, at, np.arange(len(self.base), len(self.base) + len(keys)))
         # Where each node's edges begin.
         edges = np.zeros(off[-1] + len(size), np.int32)
         edges[here[start]] = len(self.keys) + start
-        self.first = np.concatenate([self.first, edges])
-        self.keys = np.concatenate([self.keys, (self.nodes + here) + np.minimum(share, 1.0)])
-        self.source = np.concatenate([self.source, (source - first[word]).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
-        self.base, self.length = np.concatenate([self.base, base]), np.concatenate([self.length, size])
+        for name, more in (("first", edges), ("keys", (self.nodes + here) + np.minimum(share, 1.0)), ("piece", piece), ("base", self.nodes + first), ("length", size)):
+            self._append(name, more)
         self.nodes += int(off[-1] + len(size))
 
     def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,9 +211,10 @@ class _Tables:
             while len(late):
                 edge[late] += 1
                 late = late[self.keys[edge[late]] < until[late]]
-            steps.append((live, self.piece[edge]))
+            piece = self.piece[edge]
+            steps.append((live, piece))
             taken[live] += 1
-            at[live] = self.source[edge]
+            at[live] -= self.size[piece]
             live = live[at[live] > 0]
             k += 1
         ends = np.cumsum(taken)
@@ -235,9 +243,11 @@ class _Tables:
         distinct, sample, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KEPT:
             self.clear()
-        new = np.array([k not in self.known for k in distinct.tolist()], bool)
-        if new.any():
-            new = np.flatnonzero(new)
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        new[at < len(self.known)] = self.known[at[at < len(self.known)]] != distinct[at < len(self.known)]
+        new = np.flatnonzero(new)
+        if len(new):
             # A few words at once: a word's lattice takes many times its bytes while it is made.
             part = np.cumsum(end[sample[new]] - start[sample[new]]) // ADDED
             for some in np.split(new, np.flatnonzero(np.diff(part)) + 1):
@@ -245,7 +255,7 @@ class _Tables:
                 size = end[sample[some]] - s
                 to = np.concatenate([[0], np.cumsum(size)])
                 self.add(raw[np.repeat(s - to[:-1], size) + np.arange(to[-1])], to, distinct[some])
-        word = np.array([self.known[k] for k in distinct.tolist()], np.int64)[back]
+        word = self.number[np.searchsorted(self.known, distinct)][back]
         ids, taken = self.draw(word, mix64(row_seed[row] ^ (ordinal.astype(U) * U(0xD1342543DE82EF95))))
         upto = np.concatenate([[0], np.cumsum(taken)])
         return ids, upto[np.searchsorted(start, off)]
@@ -263,12 +273,18 @@ class _Tables:
 def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, seed: int) -> Iterator[pa.RecordBatch]:
     give_back()
     t = _Tables.of(v)
-    for batch in batches:
-        for a, b, raw, off in chunks(batch.column(2)):
-            key = np.array(batch.column(1)[a:b].to_pylist(), np.int64).view(U)
-            ids, ends = t.encode(raw, off, mix64(key ^ stream(seed, 1)[0]))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], ["doc_id", "ids"])
+    try:
+        for batch in batches:
+            for a, b, raw, off in chunks(batch.column(2)):
+                key = np.array(batch.column(1)[a:b].to_pylist(), np.int64).view(U)
+                ids, ends = t.encode(raw, off, mix64(key ^ stream(seed, 1)[0]))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], ["doc_id", "ids"])
+            give_back()
+    finally:
+        # A worker outlives its task: what it holds for words would stay beside other stages' rows.
+        t.clear()
+        give_back()
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", seed: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from ovelia.llm import pieces, toxicity
 from ovelia.llm.textarrays import U, mix64
@@ -31,6 +32,27 @@ def test_lattices_of_new_words_are_made_a_few_at_once():
     assert (t.encode(raw[: len(raw) // 2], off // 2, mix64(np.array([7], U)))[0][:1000] == ids[:1000]).all()
 
 
+def test_a_worker_keeps_no_lattices_after_its_task():
+    """Before, they stayed beside the rows of whatever stage the worker served next, and each addition copied all of them."""
+    v = pieces.load()
+    t = pieces._Tables.of(v)
+    t.clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6]), pa.array([" ".join(texts(12_000, 12, s)) for s in (1, 2)])], ["doc_id", "k", "text"])
+    tracemalloc.start()
+    made = pieces._encode(iter([batch]), v, 3)
+    first, second = next(made), next(made)
+    kept = t.keys.nbytes
+    raw = np.frombuffer(b" " + texts(1, 12, 3)[0].encode(), np.uint8)
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    t.add(raw, np.array([0, len(raw)]), np.array([7], U))
+    assert tracemalloc.get_traced_memory()[1] - before < kept / 2
+    tracemalloc.stop()
+    assert not list(made) and not len(t.known) and not t.keys.nbytes
+    alone = list(pieces._encode(iter([batch.slice(1)]), v, 3))
+    assert first.num_rows == second.num_rows == 1 and alone[0].equals(second)
+
+
 def plain(a, decay=0.5):
     """The kernel of each row with itself, cell by cell."""
     n, s = a.shape
