@@ -1,5 +1,7 @@
 """Blocks that boxes rule out: results are those of all pairs, and rows that meet are few."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -232,3 +234,37 @@ def test_nearest_rows_by_groups_of_columns():
     assert sorted(zip(*(v.tolist() for v in block.places(np.array([3, 4, 1]))), strict=True)) == [(0, 1), (0, 3), (2, 4)]
     dist = rng.random((50, 4_000))
     assert ((bound := distance._kth(dist, 5)) >= np.sort(dist, 1)[:, 4]).all() and ((dist <= bound[:, None]).sum(1) < 40).all()
+
+
+def test_blocks_join_what_no_other_block_reaches(spark, tiny):
+    """Before, each row went into the first round as a component of its own, and all blocks within reach met for it."""
+    x = spark.createDataFrame([(i, i % 3 // 2, [float(v) for v in p]) for i, p in enumerate(np.random.default_rng(6).integers(0, 60, (150, 2)))], "id long, label int, features array<double>")
+    scale = distance.ranges(x)
+    boxes = distance.Boxes(x.select("id", "label", "features"), scale)
+    home = graphs._joined_at_home(boxes).toPandas()
+    edges = {(int(r.a), int(r.b), r.dist, int(r.cross)) for r in home[home["a"].notna()].itertuples()}
+    want = {(a, b): (dist, cross) for a, b, dist, cross in least_forest(x, scale)}
+    assert len(boxes.n) > 4 and home["comp"].nunique() == 150 - len(edges) < 130
+    assert all((a, b) in want and want[a, b] == (dist, cross) for a, b, dist, cross in edges)
+
+
+def test_enemies_compare_rows_of_other_classes_only(spark, monkeypatch):
+    """Before, each block was compared with all rows twice."""
+    seen = []
+    monkeypatch.setattr(distance, "nearest_rows", lambda a, b, *r, f=distance.nearest_rows: seen.append(len(a) * len(b)) or f(a, b, *r))
+    monkeypatch.setattr(distance, "reach_join", lambda q, d, wanted, compare, schema: [compare(distance.Block(x), distance.Block(x)) for x in (q.df.drop("_b").toArrow(),)][0])
+    x = spark.createDataFrame([(i, int(i % 10 == 0), [float(i), float(i % 7)]) for i in range(100)], "id long, label int, features array<double>")
+    with pytest.raises(AttributeError):
+        distance.nearest_by_class(x)
+    assert sum(seen) == 100 * 100
+
+
+def test_distances_are_made_in_a_cache():
+    """Before, every step of every feature took an array of all pairs."""
+    a = np.random.default_rng(0).random((600, 3))
+    tracemalloc.start()
+    got = distance.distances(a, a, [1.0, 2.0, 3.0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.round(np.sqrt(((a[:, None] - a[None]) / [1.0, 2.0, 3.0]) ** 2 @ np.ones(3)), 9)
+    assert np.abs(got - want).max() < 1e-8 and peak < 1.5 * got.nbytes
