@@ -562,7 +562,7 @@ class DeviOCSVM(Sampler):
         over: set[int] = set()
         for label in (hi, lo):
             ids, _, x = _arrays(df.where(F.col("label") == label))
-            over |= set(ids[OneClass(p["nu"], p["kernel"], p["gamma"]).fit(x).decide(x) < 0].tolist())
+            over |= set(ids[OneClass(p["nu"], p["kernel"], p["gamma"]).fit(x).fitted < 0].tolist())
         pairs = lambda d: [(r["min_id"], r["maj_id"]) for r in tomek_like_pairs(d).collect()]
         gone = {i for ab in pairs(df) if ab[0] in over and ab[1] in over for i in ab}
         rest = cut(df.join(_ids(df, gone), "id", "left_anti"))
